@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotstream.llm import decontaminate
+from slotstream.llm import bpe, decontaminate
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, output="digests").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -34,4 +39,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-QUERIES = {"op4_benchmark_decontamination": op4_benchmark_decontamination}
+QUERIES = {
+    "op3_bpe_encoding": op3_bpe_encoding,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+}
