@@ -34,7 +34,7 @@ from slotstream.llm import base
 from slotstream.llm.vector import U64, mix, powers
 
 #: Rows of the word table that may be broadcast (about 25 bytes each in every Python worker).
-BROADCAST_WORDS = 10_000_000
+BROADCAST_WORDS = 4_000_000
 BUCKET_BYTES = 16 << 20
 DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -152,27 +152,26 @@ def _word_starts(cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """Flat lookup from word hash to ids; the last row but one per special token holds its id."""
+    """Flat lookup from word hash to ids; the last rows hold the special tokens."""
 
     def __init__(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray, special: dict[str, int]):
-        order = np.argsort(h, kind="stable")
-        at = np.concatenate(([0], np.cumsum(size)))
-        self.hash = h[order]
-        if len(self.hash) > 1 and (self.hash[1:] == self.hash[:-1]).any():
+        """``h``: signed hashes in rising order; ``ids``: the ids of all words in that order."""
+        if len(h) > 1 and (h[1:] == h[:-1]).any():
             raise HashCollision
         own = sorted(special.values())
+        self.hash = h
         self.special = {i: len(h) + k for k, i in enumerate(own)}
-        self.at = np.concatenate(([0], np.cumsum(np.concatenate((size[order], np.ones(len(own), np.int64)))))).astype(np.int64)
-        small = np.uint16 if max([0, *own], default=0) < 1 << 16 and (not len(ids) or ids.max() < 1 << 16) else np.uint32
-        self.ids = np.concatenate((ids[_flat(at[:-1][order], size[order])], own)).astype(small)
+        self.at = np.zeros(len(h) + len(own) + 1, np.int64 if len(ids) >> 31 else np.int32)
+        np.cumsum(np.concatenate((size, np.ones(len(own), size.dtype))), out=self.at[1:])
+        self.ids = np.concatenate((ids, np.array(own, ids.dtype)))
 
     def encode(self, split: Split) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and where each text's ids begin."""
-        h, back = np.unique(split.hash, return_inverse=True)
+        h, back = np.unique(split.hash.view(np.int64), return_inverse=True)
         place = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))[back]
         for i, row in self.special.items():
             place[split.token == i] = row
-        size = self.at[place + 1] - self.at[place]
+        size = (self.at[place + 1] - self.at[place]).astype(np.int64)
         ids = self.ids[_flat(self.at[place], size)].astype("<u4")
         ends = np.concatenate(([0], np.cumsum(size)))
         return ids, ends[split.first]
@@ -257,15 +256,35 @@ def word_hashes(words: list[str], seed: int) -> np.ndarray:
     return mix((sums[stop] - sums[stop - size]) * down[stop - size] + size.astype(U64))
 
 
-def _word_ids(table: pa.Table, special: dict[str, int]) -> WordIds:
-    table = table.combine_chunks()
-    h = table.column("hash").to_numpy().view(U64)
-    ids = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.binary())
-    if isinstance(ids, pa.ChunkedArray):
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.binary())
-    flat = np.frombuffer(b"".join(x for x in ids.to_pylist()), "<u4") if len(ids) < 1000 else _binary_values(ids)
-    size = np.diff(_offsets(ids)) // 4 if len(ids) else np.zeros(0, np.int64)
-    return WordIds(h, size.astype(np.int64), flat, special)
+def _id_type(vocabulary: Vocabulary) -> type:
+    return np.uint16 if len(vocabulary.piece_at) <= 1 << 16 else np.uint32
+
+
+def _word_ids(table: pa.Table, vocabulary: Vocabulary) -> WordIds:
+    """The lookup of one bucket's words."""
+    h = table.column("hash").to_numpy()
+    order = np.argsort(h)
+    ids = [np.frombuffer(x, "<u4") for x in table.column("ids").take(pa.array(order)).to_pylist()]
+    flat = np.concatenate(ids).astype(_id_type(vocabulary)) if ids else np.zeros(0, _id_type(vocabulary))
+    return WordIds(h[order], np.fromiter(map(len, ids), np.int64, len(ids)), flat, vocabulary.special)
+
+
+def _collected(table: DataFrame, vocabulary: Vocabulary) -> WordIds:
+    """The lookup of all words: each range of hashes comes to the driver as three packed arrays."""
+    kind = _id_type(vocabulary)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids = _binary_values(b.column(1)).astype(kind)
+                size = (np.diff(_offsets(b.column(1))) // 4).astype(np.uint32)
+                h = np.asarray(b.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([int(h[0])]), *[pa.array([x.tobytes()], pa.binary()) for x in (h, size, ids)]], names=["lo", "hash", "size", "ids"])
+
+    parts = table.repartitionByRange("hash").sortWithinPartitions("hash").mapInArrow(pack, "lo bigint, hash binary, size binary, ids binary").collect()
+    parts.sort(key=lambda r: r.lo)
+    flat = [np.frombuffer(b"".join(getattr(r, n) for r in parts), t) for n, t in (("hash", np.int64), ("size", np.uint32), ("ids", kind))]
+    return WordIds(*flat, vocabulary.special)
 
 
 def _offsets(a: pa.BinaryArray) -> np.ndarray:
@@ -283,7 +302,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out
     vocabulary = Vocabulary(path or default_path())
     added, make = {"ids": ("ids array<int>", id_arrays), "digests": (DIGESTS, digests)}[output]
     words = base.written(distinct_words(docs, vocabulary.special, text_col), "words")
-    context, special = docs.sparkSession.sparkContext, vocabulary.special
+    context = docs.sparkSession.sparkContext
     shared_vocabulary = context.broadcast(vocabulary)
     for seed in range(8):
         table = base.written(encoded_words(words, vocabulary, seed), "word-ids")
@@ -292,7 +311,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out
                 continue
             return _by_bucket(docs, table, text_col, added, make, shared_vocabulary, seed)
         try:
-            shared = context.broadcast(_word_ids(table.toArrow(), special))
+            shared = context.broadcast(_collected(table, vocabulary))
         except HashCollision:
             continue
         return base.with_columns(docs, text_col, added, lambda texts, seed=seed, shared=shared: make(texts, shared.value, shared_vocabulary.value, seed))
@@ -320,7 +339,7 @@ def _by_bucket(docs: DataFrame, table: DataFrame, text_col: str, added: str, mak
     new = T.StructType.fromDDL(added).names
 
     def meet(texts: pa.Table, words: pa.Table) -> pa.Table:
-        lookup = _word_ids(words.select(["hash", "ids"]), shared_vocabulary.value.special)
+        lookup = _word_ids(words.select(["hash", "ids"]), shared_vocabulary.value)
         body = texts.column(text_col).cast(pa.binary()).to_pylist()
         parts = [make(body[lo:hi], lookup, shared_vocabulary.value, seed) for lo, hi in base.chunks(body)]
         out = {n: pa.chunked_array([pa.array(p[n], type=base.arrow_type(schema[n].dataType)) for p in parts]) for n in new}
