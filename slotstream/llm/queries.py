@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotstream.llm import bpe, decontaminate, neardup
+from slotstream.llm import bpe, decontaminate, langid, neardup, quality, rules, toxicity
+from slotstream.llm.base import fold
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -57,8 +59,42 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+def _held_out(parts: int, part: int):
+    return F.coalesce(fold("doc_id", parts) == part, F.lit(False)).alias("held_out")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(fold("doc_id", 3) != 1))
+    out = langid.predicted(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", _held_out(3, 1), "lang_pred", "score", "ambiguous")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    return quality.scored(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = rules.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    out = rules.judged(docs, field)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    return toxicity.scored(docs, model).select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
 QUERIES = {
     "op3_bpe_encoding": op3_bpe_encoding,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
 }
