@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that one side of a join may have to be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 #: Bytes of text that a Python worker holds as arrays at once (a longer single text stands alone).
 CHUNK_BYTES = 1 << 20
 

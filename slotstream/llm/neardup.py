@@ -10,7 +10,8 @@ the non-empty bucket that a fixed random order puts first.  Then:
 3. in each bucket the smallest id is compared with the others (a star, not all pairs): pairs whose
    collision-corrected Jaccard estimate is low are dropped, the rest are confirmed on full sets;
 4. only where a bucket still spans several components are its remaining pairs across components
-   compared, so that no link is lost to the choice of the star's centre;
+   compared, so that no link is lost to the choice of the star's centre; members whose own
+   shingles rule out any further link drop out first;
 5. components come from large-star and small-star steps over the confirmed links.
 
 A true link of similarity 0.85 misses all bands with probability (1 - 0.85**6)**32, about 3e-7.
@@ -121,13 +122,44 @@ def _members(nodes: DataFrame) -> DataFrame:
     return base.written(rows.join(shared, "key"), "members")
 
 
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles) of the documents ``ids``, from their whole texts."""
+    ids = base.written(ids.distinct(), "ids")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).join(base.sized(ids), "id", "left_semi")
+    as_list = lambda t: {"shingles": [s.view(np.int64) for s in shingle_sets(t)]}
+    return base.written(base.with_columns(texts, "__text", "shingles array<bigint>", as_list).drop("__text"), "sets")
+
+
+def _across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components that may still be links.
+
+    A shingle that no other open set has can't be common: with n shingles of which r are not its
+    own alone, a set shares at most r.  Members that can't reach the threshold with the smallest
+    size of their bucket drop out before any pair is made, so a dense group of loose copies
+    doesn't pair up.
+    """
+    sets = _sets(open_.select("id"), docs, id_col, text_col)
+    alone = sets.select("id", F.explode("shingles").alias("g")).groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("own"))
+    alone = base.sized(base.written(alone, "own"))
+    shared = open_.join(alone, "id", "left").withColumn("r", F.col("n") - F.coalesce("own", F.lit(0)))
+    least = open_.groupBy("key").agg(F.min("n").alias("least"))
+    hopeful = shared.join(least, "key").where(100 * F.col("r") >= PERCENT * (F.col("n") + F.greatest("least", "r") - F.col("r")))
+    hopeful = base.written(hopeful.select("key", "id", "n", "r", "component"), "hopeful")
+    mixed = hopeful.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    left = hopeful.join(mixed, "key", "left_semi")
+    x, y = (left.select("key", *[F.col(c).alias(c[0] + k) for c in ("id", "n", "r", "component")]) for k in "ab")
+    most = F.least("ra", "rb")
+    fits = (F.col("ca") < F.col("cb")) & (100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
+    return base.written(x.join(y, "key").where(fits).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct(), "across")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those pairs (a, b) of ids that are links: first by estimate, then on full sets."""
     sketch = nodes.where("sketch is not null").select("id", "sketch")
     pairs = base.written(pairs, "pairs")
     left = base.sized(pairs).join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
     both = base.written(left, "left")
-    both = base.sized(both).join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
+    both = base.sized(both, base.BROADCAST_ROWS // 20).join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -136,10 +168,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                 yield x.select(["a", "b"]).filter(pa.array(estimate(a, b) >= LEAST_ESTIMATE))
 
     near = base.written(both.mapInArrow(close, "a bigint, b bigint").distinct(), "near")
-    ids = base.written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ids")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).join(base.sized(ids), "id", "left_semi")
-    as_list = lambda parts: {"shingles": [s.view(np.int64) for s in parts]}
-    sets = base.written(base.with_columns(texts, "__text", "shingles array<bigint>", lambda t: as_list(shingle_sets(t))).drop("__text"), "sets")
+    sets = _sets(near.select(F.col("a").alias("id")).union(near.select("b")), docs, id_col, text_col)
     first = base.sized(near).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     second = first.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -162,10 +191,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = members.join(base.sized(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = base.written(placed.where("id <> center").join(mixed, "key", "left_semi"), "open")
-    x, y = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    fits = (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    across = base.written(x.join(y, "key").where(fits).select("a", "b").distinct(), "across")
     label = first
+    across = _across(open_, docs, id_col, text_col)
     if across.limit(1).count():
         more = _confirmed(across, nodes, docs, id_col, text_col)
         label = base.written(components(links.union(more)), "components")
