@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotstream.llm import bpe, decontaminate, langid, neardup, quality, rules, toxicity
+from slotstream.llm import bpe, chat, decontaminate, langid, linededup, neardup, quality, rules, toxicity
 from slotstream.llm.base import fold
 
 ORACLE_SQL: dict[str, str] = {}
@@ -15,6 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
+ORACLE_SQL["op1_line_dedup"] = r"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i AS pos, ls[i + 1] AS line, list_filter(string_split_regex(lower(ls[i + 1]), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM a, unnest(range(0, len(ls))) AS t(i)),
+k AS (SELECT doc_id, pos, doc_id * 1000000 + pos AS seat, w, array_to_string(w, ' ') AS g FROM l WHERE len(w) > 0),
+d AS (SELECT g, any_value(w) AS w, min(seat) AS seat FROM k GROUP BY g),
+v AS (SELECT g, seat, i, len(w) AS n, array_to_string(list_concat(w[:i - 1], [chr(1)], w[i + 1:]), ' ') AS r, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS s
+      FROM d, unnest(range(1, len(w) + 1)) AS t(i) WHERE len(w) >= 8),
+near AS (SELECT v.g FROM v JOIN (SELECT r, min(seat) AS m FROM v GROUP BY r) AS x ON x.r = v.r WHERE m < seat
+         UNION SELECT v.g FROM v JOIN d ON d.g = v.s WHERE v.n >= 9 AND d.seat < v.seat
+         UNION SELECT d.g FROM v JOIN d ON d.g = v.s WHERE v.n >= 9 AND v.seat < d.seat),
+gone AS (SELECT doc_id, pos FROM k JOIN d USING (g) WHERE k.seat <> d.seat OR g IN (SELECT g FROM near)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed
+FROM documents AS t JOIN a USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, output="digests").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -89,7 +111,28 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", _held_out(3, 1), "score", "predicted")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op10_chat_formatting"] = r"""
+WITH RECURSIVE a AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations),
+l AS (SELECT conv_id, turn, i AS pos, ls[i] AS line, len(regexp_replace(regexp_extract(ls[i], '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level,
+             trim(regexp_replace(lower(regexp_replace(ls[i], '^((?:[ \t]*>)+)[ \t]?', '')), '[ \t\r]+', ' ', 'g')) AS plain FROM a, unnest(range(1, len(ls) + 1)) AS t(i)),
+q AS (SELECT conv_id, turn, pos, level, (SELECT max(o.turn) FROM l AS o WHERE o.conv_id = l.conv_id AND o.level = 0 AND o.plain = l.plain AND o.turn < l.turn) AS source FROM l WHERE level > 0 AND plain <> ''),
+k AS (SELECT conv_id, turn, level, source, count(*) AS n FROM q WHERE source IS NOT NULL GROUP BY ALL),
+p AS (SELECT conv_id, turn, arg_max(source, n * 1000000000 + source) AS parent_turn FROM k WHERE level = 1 GROUP BY ALL),
+up(conv_id, turn, seat, depth) AS (SELECT conv_id, turn, parent_turn, 1 FROM p UNION ALL SELECT up.conv_id, up.turn, p.parent_turn, depth + 1 FROM up JOIN p ON p.conv_id = up.conv_id AND p.turn = up.seat),
+th AS (SELECT conv_id, turn, arg_max(seat, depth) AS thread, max(depth) AS depth FROM up GROUP BY ALL),
+c AS (SELECT conv_id, turn, sum(n) AS n FROM k GROUP BY ALL),
+own AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0) AS text, count(*) FILTER (level > 0) AS n_quoted, max(level) AS max_level FROM l GROUP BY ALL)
+SELECT a.conv_id, a.turn, a.role, CASE WHEN a.text IS NULL THEN NULL ELSE trim(coalesce(own.text, '')) END AS text, p.parent_turn, coalesce(th.thread, a.turn) AS thread, CAST(coalesce(th.depth, 0) AS BIGINT) AS depth,
+       CAST(coalesce(own.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(c.n, 0) AS BIGINT) AS n_linked, CAST(coalesce(own.max_level, 0) AS BIGINT) AS max_level
+FROM a LEFT JOIN own USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn) LEFT JOIN th USING (conv_id, turn) LEFT JOIN c USING (conv_id, turn)
+"""
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_bpe_encoding": op3_bpe_encoding,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -97,4 +140,5 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_chat_formatting": op10_chat_formatting,
 }
