@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotstream.llm import bpe, chat, decontaminate, langid, linededup, neardup, quality, rules, toxicity
+from slotstream.llm import bpe, chat, decontaminate, langid, linededup, neardup, pii, quality, rules, toxicity
 from slotstream.llm.base import fold
 
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +37,10 @@ FROM documents AS t JOIN a USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOI
 """
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, output="digests").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -133,6 +137,7 @@ FROM a LEFT JOIN own USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn) LEF
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_bpe_encoding": op3_bpe_encoding,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
