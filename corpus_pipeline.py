@@ -8,6 +8,7 @@ of ``documents``; the last returns the digests of the encoding.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slotstream.llm import base, bpe, decontaminate, linededup, neardup, toxicity
 from slotstream.llm.queries import table
@@ -23,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go from the texts; every document stays."""
-    return linededup.deduplicated(docs).select(*COLUMNS)
+    return linededup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
