@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotstream.llm import base
@@ -39,6 +39,8 @@ SHINGLE, BUCKETS, BANDS, ROWS, MANTISSA = 5, 192, 32, 6, 10
 PERCENT = 85
 #: Candidates below this estimate are dropped: 0.85 less five standard errors of 192 registers.
 LEAST_ESTIMATE = 0.72
+#: Sets of one shingle that make it rare in the last comparison.
+RARE = 8
 _EMPTY = U64(2**64 - 1)
 
 
@@ -131,26 +133,39 @@ def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFr
 
 
 def _across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components that may still be links.
-
-    A shingle that no other open set has can't be common: with n shingles of which r are not its
-    own alone, a set shares at most r.  Members that can't reach the threshold with the smallest
-    size of their bucket drop out before any pair is made, so a dense group of loose copies
-    doesn't pair up.
+    """Pairs (a, b) of open buckets' members in different components that may still be links.
+
+    Shingles in at most ``RARE`` open sets are rare.  With all shingles ordered by frequency, the
+    first common shingle of a link lies in the prefix of both sets, so a link either shares a rare
+    prefix shingle (found by a join on it, at most ``RARE`` partners each), or shares no rare
+    shingle at all, and then at most the r others.  Members whose r can't reach the threshold with
+    the smallest size of their bucket drop out before any pair of the bucket is made, so a dense
+    group of loose copies doesn't pair up.
     """
     sets = _sets(open_.select("id"), docs, id_col, text_col)
-    alone = sets.select("id", F.explode("shingles").alias("g")).groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("own"))
-    alone = base.sized(base.written(alone, "own"))
-    shared = open_.join(alone, "id", "left").withColumn("r", F.col("n") - F.coalesce("own", F.lit(0)))
+    each = sets.select("id", F.explode("shingles").alias("g"))
+    rare = each.join(each.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") <= RARE), "g")
+    rare = rare.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("rare"))
+    nodes = open_.select("id", "n", "component").distinct().join(rare, "id", "left")
+    nodes = base.written(nodes.select("id", "n", "component", (F.col("n") - F.coalesce(F.size("rare"), F.lit(0))).alias("r"), "rare"), "nodes")
+    length = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
+    prefix = nodes.where("rare is not null").select("id", "n", "component", F.explode(F.slice("rare", F.lit(1), length)).alias("x")).where("x.df > 1").select(F.col("x.g").alias("key"), "id", "n", F.col("n").alias("r"), "component")
+    sized = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    by_rare = _paired(prefix, sized)
+    shared = open_.select("key", "id").join(base.sized(nodes.select("id", "n", "r", "component")), "id")
     least = open_.groupBy("key").agg(F.min("n").alias("least"))
     hopeful = shared.join(least, "key").where(100 * F.col("r") >= PERCENT * (F.col("n") + F.greatest("least", "r") - F.col("r")))
     hopeful = base.written(hopeful.select("key", "id", "n", "r", "component"), "hopeful")
     mixed = hopeful.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = hopeful.join(mixed, "key", "left_semi")
-    x, y = (left.select("key", *[F.col(c).alias(c[0] + k) for c in ("id", "n", "r", "component")]) for k in "ab")
     most = F.least("ra", "rb")
-    fits = (F.col("ca") < F.col("cb")) & (100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
-    return base.written(x.join(y, "key").where(fits).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct(), "across")
+    by_bucket = _paired(hopeful.join(mixed, "key", "left_semi"), 100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
+    return base.written(by_rare.union(by_bucket).distinct(), "across")
+
+
+def _paired(members: DataFrame, fits: Column) -> DataFrame:
+    """Pairs (a, b) of members (key, id, n, r, component) of one key in different components."""
+    x, y = (members.select("key", *[F.col(c).alias(c[0] + k) for c in ("id", "n", "r", "component")]) for k in "ab")
+    return x.join(y, "key").where((F.col("ca") < F.col("cb")) & fits).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
