@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOT = Window.partitionBy("slot").orderBy("idx")
+
+def _slot():
+    """Fragments of a slot in index order."""
+    return Window.partitionBy("slot").orderBy("idx")
 
 
 def with_island(fragments: DataFrame) -> DataFrame:
     """Adds ``island``: the same number for contiguous indexes of a slot (one row per index)."""
-    return fragments.withColumn("island", F.col("idx") - F.row_number().over(SLOT))
+    return fragments.withColumn("island", F.col("idx") - F.row_number().over(_slot()))
 
 
 def datasets(fragments: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def open_prefixes(fragments: DataFrame) -> DataFrame:
 
 def gaps(fragments: DataFrame) -> DataFrame:
     """(slot, missing): one row for each index that lies between received ones (or before the first)."""
-    ahead = F.coalesce(F.lag("idx").over(SLOT), F.lit(-1))
+    ahead = F.coalesce(F.lag("idx").over(_slot()), F.lit(-1))
     holes = fragments.select("slot", (ahead + 1).alias("lo"), (F.col("idx") - 1).alias("hi")).where("lo <= hi")
     return holes.select("slot", F.explode(F.sequence("lo", "hi")).alias("missing"))
 
@@ -67,8 +70,8 @@ def erasure_sets(fragments: DataFrame, width: int = 4, needed: int = 3) -> DataF
 
 def within_budget(rows: DataFrame, size: str, most_bytes: int, most_rows: int) -> DataFrame:
     """Rows of each slot in index order while neither budget is exceeded (a prefix by construction)."""
-    spent = F.sum(size).over(SLOT.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("turn", F.row_number().over(SLOT)).withColumn("spent", spent).where((F.col("turn") <= most_rows) & (F.col("spent") <= most_bytes))
+    spent = F.sum(size).over(_slot().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("turn", F.row_number().over(_slot())).withColumn("spent", spent).where((F.col("turn") <= most_rows) & (F.col("spent") <= most_bytes))
 
 
 def suffix_sum(size: str) -> Column:

@@ -70,17 +70,21 @@ def encode(data: list[bytes], n_code: int) -> list[bytes]:
     return [r.tobytes() for r in product(encoder(len(data), len(data) + n_code)[len(data) :], rows)]
 
 
+@lru_cache(maxsize=4096)
+def _decoder(use: tuple[int, ...], missing: tuple[int, ...], n_data: int, n_total: int) -> np.ndarray:
+    """The matrix that makes the missing data shards of the used ones; sets with one loss pattern share it."""
+    matrix = encoder(n_data, n_total)
+    return product(matrix[list(missing)], inverse(matrix[list(use)]))
+
+
 def reconstruct(present: dict[int, bytes], n_data: int, n_code: int) -> dict[int, bytes]:
     """The missing data shards by place, if ``n_data`` shards are present; else nothing."""
-    if len(present) < n_data:
-        return {}
-    missing = [i for i in range(n_data) if i not in present]
-    if not missing:
+    missing = tuple(i for i in range(n_data) if i not in present)
+    if len(present) < n_data or not missing:
         return {}
-    use = sorted(present)[:n_data]
-    matrix = encoder(n_data, n_data + n_code)
+    use = tuple(sorted(present)[:n_data])
     rows = np.stack([np.frombuffer(present[i], np.uint8) for i in use])
-    back = product(product(matrix[missing], inverse(matrix[use])), rows)
+    back = product(_decoder(use, missing, n_data, n_data + n_code), rows)
     return {i: r.tobytes() for i, r in zip(missing, back, strict=True)}
 
 

@@ -9,7 +9,7 @@ from slotstream.operators import dedupe
 from slotstream.plans.registry import query
 
 FRESH = "f AS (SELECT * FROM v_update QUALIFY row_number() OVER (PARTITION BY logical_key, source ORDER BY seq) = 1)"
-MS = "epoch_ms(ts)"
+MS = "(epoch_us(ts) // 1000)"
 
 
 def _ms():

@@ -26,7 +26,7 @@ VIEW_SQL = {
     "v_event": "SELECT event_id AS seq, ts, user_id AS source, event_type AS kind, value, props, CAST(floor(event_id / 4) AS BIGINT) AS slot FROM events",
     "v_update": """SELECT event_id AS seq, event_id % 3 AS source, CAST(CASE event_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 300 ELSE 100 END AS BIGINT) AS priority,
   concat(event_type, ':', CAST(user_id AS VARCHAR)) AS logical_key FROM events""",
-    "v_gossip": """SELECT concat(event_type, ':', CAST(user_id AS VARCHAR)) AS label, user_id AS pubkey, event_type AS kind, epoch_ms(ts) AS wallclock,
+    "v_gossip": """SELECT concat(event_type, ':', CAST(user_id AS VARCHAR)) AS label, user_id AS pubkey, event_type AS kind, epoch_us(ts) // 1000 AS wallclock,
   md5(concat(CAST(event_id AS VARCHAR), props)) AS hash, event_id AS ordinal FROM events""",
     "v_node": """SELECT c_custkey AS pubkey, CAST(c_nationkey AS BIGINT) AS shred_version, CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) ELSE 0 END AS stake,
   c_custkey % 97 AS gossip_addr, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 10 END AS tpu FROM customer""",
