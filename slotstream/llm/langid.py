@@ -133,7 +133,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sample = training_sample(rows, id_col, "__lang", most)
     vectors = base.with_columns(sample.select("__lang", "__text"), "__text", "x binary", lambda t: {"x": [r.astype(np.float16).tobytes() for r in ngram_frequencies(t)]})
     got = vectors.select("__lang", "x").collect()
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float16).reshape(len(got), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float16).reshape(len(got), 1 << BITS).astype(np.float32)
     return Model(x, [r[0] for r in got])
 
 

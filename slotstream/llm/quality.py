@@ -80,7 +80,8 @@ class Model:
         if len(labels):
             p = np.clip(labels.mean(), 0.01, 0.99)
             bias[:] = np.log([1 - p, p])
-        for _ in range(EPOCHS if len(set(labels.tolist())) == 2 else 0):
+        two = len(set(labels.tolist())) == 2  # with one label only the bias is learned
+        for _ in range(EPOCHS if two else 0):
             order = r.permutation(len(docs))
             for lo in range(0, len(order), 16):
                 batch = order[lo : lo + 16]
@@ -102,7 +103,7 @@ class Model:
                 seen_bias += slope_bias**2
                 out -= 0.1 * slope_out / np.sqrt(seen_out)
                 bias -= 0.02 * slope_bias / np.sqrt(seen_bias)
-        self.part = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32)
+        self.part = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32) * two
         self.bias = float(bias[1] - bias[0]) if len(labels) else 0.0
 
     def score(self, texts: list[bytes | None]) -> dict[str, object]:

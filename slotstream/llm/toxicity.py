@@ -131,7 +131,7 @@ class Model:
     def score(self, texts: list[bytes | None]) -> dict[str, object]:
         words, found = self.passages(texts)
         x = np.array([self.beyond(int(n), s) for n, s in zip(words.count, found, strict=True)])
-        some = np.array([bool(s) for s in found])
+        some = np.array([bool(s) for s in found], bool)
         a, b = self.curve
         score = np.where(some, 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))), 0.0) if self.n[0] else np.zeros(len(texts))
         return {"score": score, "predicted": (score >= LEAST_SCORE).astype(np.int32)}
@@ -151,8 +151,8 @@ class Model:
         if clean.any():
             top = np.sort((self.rate * best - np.log(np.maximum(1, n)))[clean])
             self.scale = float(np.clip(-math.log(0.95) * math.exp(top[int(0.95 * (len(top) - 1))]), 1e-6, 10))
-        use = np.array([bool(f) for f in found])
-        x = np.array([self.beyond(int(k), f) for k, f in zip(n, found, strict=True)])[use]
+        use = np.array([bool(f) for f in found], bool)
+        x = np.array([self.beyond(int(k), f) for k, f in zip(n, found, strict=True)], float)[use]
         y = label[use]
         w = np.array([0.0, 0.0])
         z = np.stack([x, np.ones(len(x))], axis=1)
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     label, n = np.asarray(got.column("label")), np.asarray(got.column("n"))
     found = [[(s, 0, 0) for s in x] for x in got.column("segments").to_pylist()]
     best = np.array([max((s for s, _, _ in f), default=0.0) for f in found])
-    positive = np.array([s for x, y in zip(got.column("up").to_pylist(), label.tolist(), strict=True) if y == 0 for s in x])
+    positive = np.array([s for x, y in zip(got.column("up").to_pylist(), label.tolist(), strict=True) if y == 0 for s in x], float)
     model.calibrate(label, n, best, found, positive)
     return model
 
