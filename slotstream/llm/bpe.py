@@ -281,9 +281,13 @@ def _collected(table: DataFrame, vocabulary: Vocabulary) -> WordIds:
                 h = np.asarray(b.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array([int(h[0])]), *[pa.array([x.tobytes()], pa.binary()) for x in (h, size, ids)]], names=["lo", "hash", "size", "ids"])
 
-    parts = table.repartitionByRange("hash").sortWithinPartitions("hash").mapInArrow(pack, "lo bigint, hash binary, size binary, ids binary").collect()
-    parts.sort(key=lambda r: r.lo)
-    flat = [np.frombuffer(b"".join(getattr(r, n) for r in parts), t) for n, t in (("hash", np.int64), ("size", np.uint32), ("ids", kind))]
+    packed = table.repartitionByRange("hash").sortWithinPartitions("hash").mapInArrow(pack, "lo bigint, hash binary, size binary, ids binary")
+    parts = []  # one range of hashes at a time, so that the JVM never holds the whole table
+    for r in packed.toLocalIterator():
+        parts.append((r.lo, *[np.frombuffer(x, t) for x, t in ((r.hash, np.int64), (r.size, np.uint32), (r.ids, kind))]))
+    parts.sort(key=lambda x: x[0])
+    flat = [np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in ((1, np.int64), (2, np.uint32), (3, kind))]
+    del parts
     return WordIds(*flat, vocabulary.special)
 
 
