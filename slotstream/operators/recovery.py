@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -88,19 +89,44 @@ def reconstruct(present: dict[int, bytes], n_data: int, n_code: int) -> dict[int
     return {i: r.tobytes() for i, r in zip(missing, back, strict=True)}
 
 
+def _solve(sets: list[tuple]) -> list[tuple]:
+    """Missing shards of many sets (key, n_data, n_code, shards by place); sets with one loss pattern share a product."""
+    alike: dict[tuple, list[tuple]] = {}
+    for key, n_data, n_code, shards in sets:
+        missing = tuple(i for i in range(n_data) if i not in shards)
+        if missing and len(shards) >= n_data:
+            use = tuple(sorted(shards)[:n_data])
+            alike.setdefault((use, missing, n_data, n_code, len(shards[use[0]])), []).append((key, [shards[i] for i in use]))
+    out = []
+    for (use, missing, n_data, n_code, size), members in alike.items():
+        rows = np.frombuffer(b"".join(x for _, parts in members for x in parts), np.uint8).reshape(len(members), n_data, size)
+        matrix = _decoder(use, missing, n_data, n_data + n_code)
+        back = np.bitwise_xor.reduce(multiply(matrix[None, :, :, None], rows[:, None, :, :]), axis=2)
+        out += [(*key, p, back[g, k].tobytes()) for g, (key, _) in enumerate(members) for k, p in enumerate(missing)]
+    return out
+
+
 def recovered(shards: DataFrame) -> DataFrame:
     """(slot, fec_set, place, payload) of the data shards that each erasure set gives back.
 
-    ``shards``: slot, fec_set, place (data first, then code), n_data, n_code, payload.  The first
-    configuration of a set holds (by arrival), others are ignored.  A set is at most a few hundred
-    shards, so a group is small by the format.
+    ``shards``: slot, fec_set, place (data first, then code), n_data, n_code, arrival, payload.  The
+    first configuration of a set holds (by arrival), others are ignored.  Sets are dealt by key and
+    stream through in order: one set (a few hundred shards by the format) and one batch are held.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival")
-        first = pdf.iloc[0]
-        pdf = pdf[(pdf.n_data == first.n_data) & (pdf.n_code == first.n_code)].drop_duplicates("place")
-        found = reconstruct({int(p): bytes(b) for p, b in zip(pdf.place, pdf.payload, strict=True)}, int(first.n_data), int(first.n_code))
-        return pd.DataFrame([(first.slot, first.fec_set, p, b) for p, b in found.items()], columns=["slot", "fec_set", "place", "payload"])
-
-    return shards.groupBy("slot", "fec_set").applyInPandas(run, "slot bigint, fec_set bigint, place bigint, payload binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        for pdf in batches:
+            done = []
+            for slot, fec, place, n_data, n_code, payload in zip(pdf.slot, pdf.fec_set, pdf.place, pdf.n_data, pdf.n_code, pdf.payload, strict=True):
+                if now is None or now[0] != (slot, fec):
+                    done += [now] if now else []
+                    now = ((slot, fec), int(n_data), int(n_code), {})
+                if (n_data, n_code) == now[1:3]:
+                    now[3].setdefault(int(place), bytes(payload))
+            yield pd.DataFrame(_solve(done), columns=["slot", "fec_set", "place", "payload"])
+        yield pd.DataFrame(_solve([now] if now else []), columns=["slot", "fec_set", "place", "payload"])
+
+    columns = ["slot", "fec_set", "place", "n_data", "n_code", "payload"]
+    dealt = shards.repartition("slot", "fec_set").sortWithinPartitions("slot", "fec_set", "arrival").select(*columns)
+    return dealt.mapInPandas(run, "slot bigint, fec_set bigint, place bigint, payload binary")
