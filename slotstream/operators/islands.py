@@ -77,3 +77,23 @@ def within_budget(rows: DataFrame, size: str, most_bytes: int, most_rows: int) -
 def suffix_sum(size: str) -> Column:
     """Bytes from this fragment to the slot's end."""
     return F.sum(size).over(Window.partitionBy("slot").orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def coverage(observed: DataFrame) -> DataFrame:
+    """Per slot: shreds, duplicates, conflicts, datasets, contiguous prefix and missing indexes, in one pass.
+
+    ``observed`` has all arrivals with their observation.  Islands and parts are worked out on all
+    rows (an arrival that isn't accepted shares the place of the accepted one), so that everything
+    stays on the slot's partitioning: no second scan, no join.
+    """
+    first = F.col("observation") == "Accepted"
+    boundary = first & F.col("data_complete")
+    so_far = F.count_if(first).over(Window.partitionBy("slot").orderBy("idx").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before = Window.partitionBy("slot", "island").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
+    marked = observed.withColumn("island", F.col("idx") - so_far).withColumn("part", F.coalesce(F.count_if(boundary).over(before), F.lit(0)))
+    kind = lambda name: F.count_if(F.col("observation") == name)
+    parts = marked.groupBy("slot", "island", "part").agg(F.count("*").alias("n"), kind("Duplicate").alias("dup"), kind("Conflict").alias("con"), F.count_if(first).alias("own"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.bool_or(boundary).alias("done"))
+    dataset = F.col("done") & ((F.col("part") > 0) | (F.col("lo") == 0) | (F.col("own") >= 2))
+    return parts.groupBy("slot").agg(
+        F.sum("n").alias("shreds"), F.sum("dup").alias("duplicates"), F.sum("con").alias("conflicts"), F.count_if(dataset).alias("datasets"), F.coalesce(F.sum(F.when(F.col("island") == -1, F.col("own"))), F.lit(0)).alias("prefix"), (F.max("hi") + 1 - F.sum("own")).alias("missing")
+    )

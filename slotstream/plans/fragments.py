@@ -27,16 +27,10 @@ SELECT c.*, coalesce(d.datasets, 0) AS datasets, contiguous_prefix, missing,
 FROM c JOIN p USING (slot) LEFT JOIN d USING (slot)""")
 def slot_coverage(v_shred):
     """Fragments, duplicates, conflicts, datasets, prefix, gaps and commitment of each slot."""
-    seen = dedupe.observed(v_shred)
-    own = seen.groupBy("slot").agg(F.count("*").alias("shreds"), F.count_if(F.col("observation") == "Duplicate").alias("duplicates"), F.count_if(F.col("observation") == "Conflict").alias("conflicts"))
-    kept = seen.where("observation = 'Accepted'")
-    prefix = islands.contiguous_prefix(kept)
-    gaps = kept.groupBy("slot").agg((F.max("idx") + 1 - F.count("*")).alias("missing"))
-    sets = islands.datasets(kept).groupBy("slot").agg(F.count("*").alias("datasets"))
     tip = v_shred.agg(F.max("slot").alias("tip"))
-    out = own.join(prefix, "slot").join(gaps, "slot").join(sets, "slot", "left").crossJoin(F.broadcast(tip))
+    out = islands.coverage(dedupe.observed(v_shred)).crossJoin(F.broadcast(tip))
     status = commitment.from_slot(F.col("slot"), F.col("tip") - commitment.CONFIRMED_DEPTH, F.col("tip") - commitment.FINALIZED_DEPTH)
-    return out.select("slot", "shreds", "duplicates", "conflicts", F.coalesce("datasets", F.lit(0)).alias("datasets"), F.col("prefix").alias("contiguous_prefix"), "missing", status.alias("commitment"))
+    return out.select("slot", "shreds", "duplicates", "conflicts", "datasets", F.col("prefix").alias("contiguous_prefix"), "missing", status.alias("commitment"))
 
 
 @query(f"WITH {OBS} SELECT slot, idx, arrival, sig, observation FROM obs")

@@ -19,22 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shreds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments of slots; ``arrival`` numbers them within the slot."""
-    line = table(spark, sf_dir, "lineitem")
-    slot = Window.partitionBy("l_orderkey")
-    order = slot.orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
-    last = F.col("l_linenumber") == F.max("l_linenumber").over(slot)
     idx = (F.col("l_linenumber") - 1).cast("bigint")
-    return line.select(
-        F.col("l_orderkey").alias("slot"),
-        idx.alias("idx"),
-        F.col("l_returnflag").alias("sig"),
-        F.row_number().over(order).cast("bigint").alias("arrival"),
-        F.col("l_suppkey").alias("source"),
-        F.floor("l_quantity").cast("bigint").alias("payload_len"),
-        (idx - idx % 4).alias("fec_set"),
-        ((F.col("l_linestatus") == "F") | last).alias("data_complete"),
-        last.alias("last_in_slot"),
+    # Renamed first: all later windows and aggregates on (slot, ...) then reuse this one shuffle.
+    line = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("slot"), idx.alias("idx"), F.col("l_returnflag").alias("sig"), F.col("l_suppkey").alias("source"), F.floor("l_quantity").cast("bigint").alias("payload_len"), (F.col("l_linestatus") == "F").alias("ends"), "l_shipdate", "l_partkey"
     )
+    slot = Window.partitionBy("slot")
+    last = F.col("idx") == F.max("idx").over(slot)
+    arrival = F.row_number().over(slot.orderBy("idx", "l_shipdate", "l_partkey", "source")).cast("bigint")
+    marked = line.withColumns({"last_in_slot": last, "arrival": arrival})
+    return marked.select("slot", "idx", "sig", "arrival", "source", "payload_len", (F.col("idx") - F.col("idx") % 4).alias("fec_set"), (F.col("ends") | F.col("last_in_slot")).alias("data_complete"), "last_in_slot")
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
