@@ -31,16 +31,35 @@ def known(slots: DataFrame) -> DataFrame:
     return slots.join(present, F.col("parent_slot") == F.col("__p"), "left").select("slot", F.col("__p").alias("parent"))
 
 
-def depths(slots: DataFrame) -> DataFrame:
-    """(slot, parent, depth, root): hops to the root, and the root."""
-    now = known(slots).select("slot", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
-    while True:
-        now = _cut(now)
-        if not now.where("up is not null").limit(1).count():
-            break
-        other = now.select(F.col("slot").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.coalesce("root", "slot").alias("top") if "root" in now.columns else F.col("slot").alias("top"))
-        now = now.join(other, "up", "left").select("slot", "parent", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("top", *(["root"] if "root" in now.columns else [])).alias("root"))
-    return now.select("slot", "parent", "depth", F.coalesce("root", "slot").alias("root") if "root" in now.columns else F.col("slot").alias("root"))
+class Index:
+    """Depths of all slots, and for each k the ancestor 2**k hops up.
+
+    ``depth``: (slot, parent, depth, root).  ``jumps[k]``: (slot, up), up null beyond the root.
+    """
+
+    def __init__(self, slots: DataFrame):
+        now = known(slots).select("slot", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.coalesce("parent", "slot").alias("root"))
+        self.jumps: list[DataFrame] = []
+        while True:
+            now = _cut(now)
+            if not now.where("up is not null").limit(1).count():
+                break
+            self.jumps.append(now.select("slot", "up"))
+            other = now.select(F.col("slot").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("root").alias("top"))
+            now = now.join(other, "up", "left").select("slot", "parent", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("top", "root").alias("root"))
+        self.depth = now.select("slot", "parent", "depth", "root")
+
+    def chain(self, of: DataFrame) -> DataFrame:
+        """All slots from the one slot in ``of`` (column ``slot``) to its root.
+
+        From the longest jump down, each marked slot also marks its ancestor there: every distance
+        is one sum of powers of two, so no slot is marked twice and one job does it all.
+        """
+        marked = of.select("slot")
+        for jump in reversed(self.jumps):
+            both = F.filter(F.array("slot", "up"), lambda x: x.isNotNull())
+            marked = marked.join(jump, "slot", "left").select(F.explode(both).alias("slot"))
+        return marked
 
 
 def tip(depth: DataFrame) -> DataFrame:
@@ -48,36 +67,16 @@ def tip(depth: DataFrame) -> DataFrame:
     return depth.agg(F.max_by("slot", F.struct("depth", "slot")).alias("tip"), F.max("depth").alias("depth"))
 
 
-def chain(depth: DataFrame, of: DataFrame) -> DataFrame:
-    """All slots on the chain from the one slot in ``of`` (column ``slot``) to its root.
-
-    Marks double: once all ancestors at distances below 2**k are marked, one join with the
-    2**k-th ancestors marks those below 2**(k+1).
-    """
-    jump = _cut(depth.select("slot", F.col("parent").alias("up")))
-    marked = _cut(of.select("slot"))
-    while True:
-        more = marked.join(jump.where("up is not null"), "slot").select(F.col("up").alias("slot"))
-        if not more.limit(1).count():
-            return marked
-        marked = _cut(marked.union(more).distinct())
-        jump = _cut(jump.join(jump.select(F.col("slot").alias("up"), F.col("up").alias("next")), "up", "left").select("slot", F.col("next").alias("up")))
-
-
-def status(depth: DataFrame, confirmed_hops: int, finalized_hops: int) -> DataFrame:
-    """(slot, depth, status) of each slot: by the watermarks on the tip's chain, Orphaned off it.
-
-    A slot off the chain is Orphaned if it was canonical once, that is if it was the best of its
-    time: no slot up to its number is deeper.
-    """
-    best = tip(depth)
-    main = chain(depth, best.select(F.col("tip").alias("slot"))).withColumn("canonical", F.lit(True))
-    on = depth.join(main, "slot", "left").crossJoin(F.broadcast(best.select(F.col("depth").alias("top"))))
+def status(index: Index, confirmed_hops: int, finalized_hops: int) -> DataFrame:
+    """(slot, depth, status) of each slot: by the watermarks on the tip's chain, Orphaned off it."""
+    best = tip(index.depth)
+    main = index.chain(best.select(F.col("tip").alias("slot"))).withColumn("canonical", F.lit(True))
+    on = index.depth.join(main, "slot", "left").crossJoin(F.broadcast(best.select(F.col("depth").alias("top"))))
     by_depth = F.when(F.col("top") - F.col("depth") >= finalized_hops, "Finalized").when(F.col("top") - F.col("depth") >= confirmed_hops, "Confirmed").otherwise("Processed")
     return on.select("slot", "depth", F.when(F.col("canonical"), by_depth).otherwise("Orphaned").alias("status"))
 
 
-def reorg(depth: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+def reorg(index: Index, old: DataFrame, new: DataFrame) -> DataFrame:
     """(slot, side): the old chain's slots that go (detached) and the new chain's that come (attached)."""
-    a, b = chain(depth, old), chain(depth, new)
+    a, b = _cut(index.chain(old)), _cut(index.chain(new))
     return a.join(b, "slot", "left_anti").withColumn("side", F.lit("detached")).union(b.join(a, "slot", "left_anti").withColumn("side", F.lit("attached")))

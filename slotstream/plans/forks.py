@@ -24,18 +24,18 @@ def parent_slot(v_slot):
 
 @query(f"WITH {DEPTH} SELECT * FROM dep", recursive=True)
 def fork_depth(v_slot):
-    return forks.depths(v_slot)
+    return forks.Index(v_slot).depth
 
 
 @query(f"WITH {DEPTH}, {TIP} SELECT slot AS tip, depth FROM tip", recursive=True)
 def fork_tip(v_slot):
-    return forks.tip(forks.depths(v_slot))
+    return forks.tip(forks.Index(v_slot).depth)
 
 
 @query(f"""WITH {DEPTH}, {TIP}, {MAIN}
 SELECT slot, dep.depth, CASE WHEN slot NOT IN (SELECT slot FROM main) THEN 'Orphaned' WHEN (SELECT depth FROM tip) - dep.depth >= 150 THEN 'Finalized' WHEN (SELECT depth FROM tip) - dep.depth >= 32 THEN 'Confirmed' ELSE 'Processed' END AS status FROM dep""", recursive=True)
 def fork_status(v_slot):
-    return forks.status(forks._cut(forks.depths(v_slot)), commitment.CONFIRMED_DEPTH, commitment.FINALIZED_DEPTH)
+    return forks.status(forks.Index(v_slot), commitment.CONFIRMED_DEPTH, commitment.FINALIZED_DEPTH)
 
 
 @query(f"""WITH {DEPTH}, {TIP}, o AS (SELECT max(slot) AS slot FROM dep WHERE slot < (SELECT slot FROM tip) AND slot % 3 = 1),
@@ -43,10 +43,10 @@ a(slot) AS (SELECT slot FROM o UNION ALL SELECT k.parent FROM k JOIN a ON k.slot
 SELECT slot, 'detached' AS side FROM a WHERE slot NOT IN (SELECT slot FROM main) UNION ALL SELECT slot, 'attached' FROM main WHERE slot NOT IN (SELECT slot FROM a)""", recursive=True)
 def reorg_diff(v_slot):
     """Slots that leave and join when the tip moves from the newest slot of residue 1 to the best one."""
-    depth = forks._cut(forks.depths(v_slot))
-    new = forks.tip(depth).select(F.col("tip").alias("slot"))
-    old = depth.crossJoin(F.broadcast(new.withColumnRenamed("slot", "t"))).where("slot < t and slot % 3 = 1").agg(F.max("slot").alias("slot"))
-    return forks.reorg(depth, old, new)
+    index = forks.Index(v_slot)
+    new = forks.tip(index.depth).select(F.col("tip").alias("slot"))
+    old = index.depth.crossJoin(F.broadcast(new.withColumnRenamed("slot", "t"))).where("slot < t and slot % 3 = 1").agg(F.max("slot").alias("slot"))
+    return forks.reorg(index, old, new)
 
 
 @query("""WITH e AS (SELECT slot, CAST(floor(slot / 432) AS BIGINT) AS epoch FROM v_slot), f AS (SELECT epoch, min(slot) AS first_slot, count(*) AS slots FROM e GROUP BY epoch)
