@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a Python worker holds as arrays at once (a longer single text stands alone).
 CHUNK_BYTES = 1 << 20
+#: Bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,6 +62,7 @@ def with_columns(df: DataFrame, text_col: str, added: str, score: Callable[[list
     ``score`` gets a list of UTF-8 texts (None for null) of about ``CHUNK_BYTES`` together and
     returns, by column name, a value for each text.  Other columns pass through.
     """
+    small_batches(df.sparkSession)
     schema = extended(df.schema, added)
     new = T.StructType.fromDDL(added).names
     keep = [n for n in schema.names if n not in new]
@@ -67,10 +71,10 @@ def with_columns(df: DataFrame, text_col: str, added: str, score: Callable[[list
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-            for lo, hi in chunks(texts):
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+            for lo, hi in column_chunks(texts):
                 part = batch.slice(lo, hi - lo)
-                out = score(texts[lo:hi])
+                out = score(texts.slice(lo, hi - lo).to_pylist())
                 arrays = [part.column(part.schema.get_field_index(n)) for n in keep]
                 arrays += [pa.array(out[n], type=arrow_type(schema[n].dataType)) for n in new]
                 yield pa.RecordBatch.from_arrays(arrays, names=keep + new)
@@ -78,6 +82,25 @@ def with_columns(df: DataFrame, text_col: str, added: str, score: Callable[[list
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES``, unless the session has chosen a size other than Spark's default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("67108864b", "64m"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def column_chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """The ranges of :func:`chunks` for a binary column, without copying it out of Arrow."""
+    lo = size = 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i > lo and size + n > CHUNK_BYTES:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     """The Arrow type of the few result types used here."""
     if isinstance(kind, T.ArrayType):

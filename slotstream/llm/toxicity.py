@@ -186,14 +186,15 @@ def _document_frequency(texts: DataFrame, known=None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            body = b.column(0).cast(pa.binary()).to_pylist()
-            for lo, hi in base.chunks(body, 4 << 20):
-                h, n = np.unique(np.concatenate([_distinct_per_text(*tokens(body[lo:hi]))[0]]), return_counts=True)
+            body = b.column(0).cast(pa.binary())
+            for lo, hi in base.column_chunks(body):
+                h, n = np.unique(_distinct_per_text(*tokens(body.slice(lo, hi - lo).to_pylist()))[0], return_counts=True)
                 if known is not None:
                     keep = np.isin(h, known.value, assume_unique=True)
                     h, n = h[keep], n[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
+    base.small_batches(texts.sparkSession)
     return texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
