@@ -51,6 +51,14 @@ def test_wire_headers_agree_with_their_rows(spark):
     assert all(r.error == "bad_coding" for r in got if r.error is not None)
 
 
+def test_rs_recover_runs_every_set(spark):
+    from slotstream.sources import tables
+
+    got = {(r.slot, r.fec_set): (r.recovered, r.exact) for r in catalog.QUERIES["rs_recover"](spark, SF).collect()}
+    keys = [tuple(r) for r in tables.VIEWS["v_shred"](spark, SF).select("slot", "fec_set").distinct().collect()]
+    assert got == {(s, f): (len({(s + f) % 4, (s * 3 + 1) % 4}), True) for s, f in keys}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
