@@ -11,6 +11,7 @@ surrogate (coreference: a phone number in two notations, a surname with and with
 
 Collision checks over the whole corpus keep distinct parts distinct: where two parts would share a
 surrogate, or a surrogate would equal a real part, the losers draw again (more room on each round).
+What a format has no room for gets a longer surrogate from the keyed hash alone; nothing stays in clear.
 
 Only the entities leave the text; they return by a join on the document, so that no text is
 grouped.  Defined cases: null and empty texts stay as they are; text without entities is unchanged
@@ -27,6 +28,8 @@ from slotstream.llm import base
 #: The public default key is for tests; production passes a secret one.
 DEFAULT_KEY = "slotstream"
 ROUNDS = 16
+#: Rounds of longer draws after those.
+SPARE = 4
 MALE, FEMALE = "Mr|Mister|Herr|Monsieur|Señor|Sr|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Госпожа"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
@@ -50,6 +53,7 @@ GIVEN = {
 }
 HEADS = {"latin": "Bar Cal Dor El Far Gal Hol Kal Lor Mar Nor Pal Ran Sal Tor Val".split(), "cyrillic": "Бар Вол Гор Дан Зар Кол Лан Мар Нор Пол Рад Сел".split()}
 MIDDLES = {"latin": "a be di en go ha ki lo mi ne or ra si ta ul ve".split(), "cyrillic": "а бе ви го да ле ми но ра си то у".split()}
+SYMBOLS = "!#$%&*+-/:<=>?^~"
 TAILS = {"latin": "berg dale field land lund man mond nell ridge sen son stein ton vale well wick".split(), "cyrillic": "ов ев ин ский енко ич ко ман".split()}
 
 
@@ -100,6 +104,11 @@ def _letters(key: str, salt: Column, body: Column, hexadecimal: Column) -> Colum
     return F.array_join(F.transform(chars, one), "")
 
 
+def _symbols(key: str, salt: Column, n: Column) -> Column:
+    """``n`` drawn symbols."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.lit(SYMBOLS), (_draw(key, salt, i, len(SYMBOLS)) + 1).cast("int"), F.lit(1))), "")
+
+
 def luhn_sum(digits: Column) -> Column:
     """Checksum total of a digit string; a multiple of ten passes."""
     each = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
@@ -123,7 +132,7 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     card = F.concat(body, F.when(luhn_sum(norm) % 10 == 0, check).otherwise(wrong).cast("string"))
     phone = F.when(norm.startswith("+"), F.concat(F.substring(norm, 1, 2), _letters(key, salt, F.expr("substring(norm, 3)"), F.lit(False)))).otherwise(plain)
     iban = F.concat(F.substring(norm, 1, 2), _letters(key, salt, F.expr("substring(norm, 3)"), F.lit(False)))
-    secret = F.when(norm.rlike("^[0-9a-f]+$"), _letters(key, salt, norm, F.lit(True))).otherwise(plain)
+    secret = F.when(norm.rlike("^[0-9a-f]+$"), _letters(key, salt, norm, F.lit(True))).when(~norm.rlike(r"[\p{L}0-9]"), _symbols(key, salt, F.length(norm))).otherwise(plain)
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "ssn", plain)
     for script, here in (("cyrillic", norm.rlike("[а-яё]")), ("latin", ~norm.rlike("[а-яё]"))):
         for gender in ("given_f", "given_m"):
@@ -135,12 +144,24 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     return out.otherwise(secret)
 
 
+def longer(kind: Column, norm: Column, attempt: int, key: str) -> Column:
+    """A part's surrogate where its own format has no room left: drawn with more characters, none of them the part's."""
+    salt = F.concat_ws("|", kind, norm, F.lit(str(attempt)))
+    drawn = lambda like: _letters(key, salt, F.lit(like), F.lit(False))
+    phone = F.concat(F.when(norm.startswith("+"), F.lit("+")).otherwise(F.lit("")), drawn("0" * 24))
+    secret = F.when(norm.rlike(r"[\p{L}0-9]"), drawn("a0" * 12)).otherwise(_symbols(key, salt, F.lit(24)))
+    out = F.when(kind == "email", F.concat(drawn("a" * 16), F.lit("@example.com"))).when(kind == "phone", phone).when(kind.isin("card", "ssn"), drawn("0" * 24))
+    out = out.when(kind == "iban", drawn("AA" + "0" * 32)).when(kind == "secret", secret)
+    return out.otherwise(surrogate(kind, norm, attempt, key))
+
+
 def resolved(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(type, norm, surrogate) of distinct parts (type, norm); surrogates are distinct and no real part."""
     real = found.select("type", F.col("norm").alias("surrogate"))
     todo, done = found, None
-    for attempt in range(ROUNDS):
-        drawn = todo.withColumn("surrogate", surrogate(F.col("type"), F.col("norm"), attempt, key))
+    for attempt in range(ROUNDS + SPARE):
+        draw = surrogate if attempt < ROUNDS else longer
+        drawn = todo.withColumn("surrogate", draw(F.col("type"), F.col("norm"), attempt, key))
         first = drawn.groupBy("type", "surrogate").agg(F.min("norm").alias("norm")).join(real, ["type", "surrogate"], "left_anti")
         if done is not None:
             first = first.join(done.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
@@ -149,9 +170,7 @@ def resolved(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         todo = base.written(found.join(done, ["type", "norm"], "left_anti"), "todo")
         if not todo.limit(1).count():
             return done
-    # A format without room for all its parts: the rest get a keyed suffix.
-    suffix = F.substring(F.sha2(F.concat_ws("|", F.lit(key), "type", "norm"), 256), 1, 16)
-    return done.union(todo.select("type", "norm", F.concat("norm", F.lit("-"), suffix)))
+    raise RuntimeError("parts without a surrogate after all rounds")
 
 
 def _rendered(raw: Column, name: Column, new: Column) -> Column:
@@ -161,6 +180,9 @@ def _rendered(raw: Column, name: Column, new: Column) -> Column:
     chars = F.filter(F.split(raw, ""), lambda c: c != "")
     filled = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x.rlike("[0-9]"))), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substr(first, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x != " ")), F.lit(1)))), "")
+    # A longer surrogate ends in what the notation has no places for.
+    filled = F.concat(filled, F.substr(digits, F.length(F.regexp_replace(raw, r"[^0-9]", "")) + 1))
+    spaced = F.concat(spaced, F.substr(first, F.length(F.regexp_replace(raw, " ", "")) + 1))
     cased = F.when(F.upper(raw) == raw, F.upper(first)).otherwise(first)
     between = F.regexp_extract(raw, r"^\p{L}+\.? \p{L}+([ -]?)", 1)
     second = F.when(F.size(new) > 1, F.concat(between, F.initcap(F.element_at(new, 2)))).otherwise(F.lit(""))

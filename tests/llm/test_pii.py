@@ -2,6 +2,7 @@
 
 import re
 
+from pyspark.sql import functions as F
 from slotstream.llm import pii
 
 ROWS = [
@@ -48,6 +49,28 @@ def test_distinct_even_in_a_small_space(spark):
     assert pii.replaced(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_nothing_stays_where_a_format_has_no_room(spark):
+    secrets = ["!!@@##$$", "########", "--------1"]
+    rows = [(i, f"mail {c}@example.com now") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(50 + i, f"token = '{x}' end") for i, x in enumerate(secrets)]
+    rows += [(60 + i, f"token = '--------{i}' end") for i in range(10) if i != 1]
+    got = {r.doc_id: r.text for r in pii.replaced(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(set(got.values())) == len(rows)
+    reals = [t.split("'")[1] for i, t in rows if i >= 50]
+    for i, _ in rows[:26]:
+        assert re.fullmatch(r"mail [a-z]{2,}@example\.com now", got[i]), got[i]
+    for i, _ in rows[26:]:
+        assert re.fullmatch(r"token = '[^'\s]{8,}' end", got[i]) and not any(real in got[i] for real in reals), got[i]
+
+
+def test_longer_numbers_keep_their_notation(spark):
+    cases = [("phone", "+1 017 555 7713", "+10175557713"), ("phone", "017-555-7713", "0175557713"), ("card", "4111 1111 1111 1111", "4" + "1" * 15), ("ssn", "123-45-6789", "123456789"), ("iban", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000")]
+    drawn = spark.createDataFrame(cases, "type string, raw string, norm string").withColumn("new", pii.longer(F.col("type"), F.col("norm"), pii.ROUNDS, "k"))
+    for r in drawn.withColumn("shown", pii._rendered(F.col("raw"), F.col("type"), F.array("new"))).collect():
+        shape = "".join({"0": r"\d", "A": "[A-Z]", "+": r"\+"}.get(c, c) for c in re.sub("[A-Z]", "A", re.sub(r"\d", "0", r.raw)))
+        assert re.fullmatch(shape + r"\d+", r.shown), r.shown
+        assert re.sub("[ -]", "", r.shown) == r.new and r.norm not in r.new
+
+
 def test_key_decides(spark):
     docs = spark.createDataFrame(ROWS[:1], "doc_id bigint, text string")
     a, b, c = (pii.replaced(docs, key=k).first().text for k in ("one", "one", "two"))
