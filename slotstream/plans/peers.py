@@ -113,7 +113,7 @@ def entrypoint_rank(v_peer):
     """Fifteen entry points: reachable ones, then by bias rank, probe time and name."""
     bias = F.row_number().over(Window.partitionBy("shred_version").orderBy(F.desc("stake"), "pubkey")).cast("bigint")
     ranked = v_peer.where("shred_version = 7").select("pubkey", bias.alias("bias"))
-    out = v_peer.where("stake > 0").join(F.broadcast(ranked.limit(10_000)), "pubkey", "left")
+    out = v_peer.where("stake > 0").join(ranked, "pubkey", "left")
     return out.orderBy(F.desc(F.col("stake") % 2), F.coalesce("bias", F.lit(9999)), F.col("stake") % 50, "pubkey").limit(15).select("pubkey", "bias", (F.col("stake") % 50).alias("probe_ms"))
 
 

@@ -59,6 +59,15 @@ def test_rs_recover_runs_every_set(spark):
     assert got == {(s, f): (len({(s + f) % 4, (s * 3 + 1) % 4}), True) for s, f in keys}
 
 
+def test_entrypoint_rank_beyond_ten_thousand_peers(spark):
+    from slotstream.plans import peers
+
+    n = 10_020  # odd stakes come first in the result, and here last in rank
+    rows = spark.range(n).selectExpr("id AS pubkey", "7L AS shred_version", f"CASE WHEN id < {n - 20} THEN 100000 - 2 * id ELSE 99 END AS stake")
+    got = peers.entrypoint_rank(rows).collect()
+    assert [tuple(r) for r in got] == [(n - 20 + k, n - 19 + k, 49) for k in range(15)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
