@@ -6,23 +6,10 @@ slot by slot.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder, so that the plan stays short and survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slotstream-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/forks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from slotstream.operators.shared import written
 
 
 def known(slots: DataFrame) -> DataFrame:
@@ -41,7 +28,7 @@ class Index:
         now = known(slots).select("slot", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.coalesce("parent", "slot").alias("root"))
         self.jumps: list[DataFrame] = []
         while True:
-            now = _cut(now)
+            now = written(now, "forks")
             if not now.where("up is not null").limit(1).count():
                 break
             self.jumps.append(now.select("slot", "up"))
@@ -78,5 +65,5 @@ def status(index: Index, confirmed_hops: int, finalized_hops: int) -> DataFrame:
 
 def reorg(index: Index, old: DataFrame, new: DataFrame) -> DataFrame:
     """(slot, side): the old chain's slots that go (detached) and the new chain's that come (attached)."""
-    a, b = _cut(index.chain(old)), _cut(index.chain(new))
+    a, b = written(index.chain(old), "old-chain"), written(index.chain(new), "new-chain")
     return a.join(b, "slot", "left_anti").withColumn("side", F.lit("detached")).union(b.join(a, "slot", "left_anti").withColumn("side", F.lit("attached")))
