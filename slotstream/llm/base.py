@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: shared-folder tables, sized joins, Arrow batches."""
+"""What the operators of this subpackage share: written tables, sized joins, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,36 +10,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that one side of a join may have to be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 500_000
+from slotstream.operators.shared import written
+
+__all__ = ["written"]
+
+#: Bytes that one side of a join may have to be broadcast (values, and ROW_BYTES a row); above it the join shuffles.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 32
 #: Bytes of text that a Python worker holds as arrays at once (a longer single text stands alone).
 CHUNK_BYTES = 1 << 20
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where that is unset (local tests) a temporary folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slotstream-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return f"{folder.rstrip('/')}/slotstream-{spark.sparkContext.applicationId}"
+def value_bytes(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        return F.coalesce(F.size(column), F.lit(0)) * 8
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(column.cast("string")), F.lit(0)) * 2
+    if isinstance(kind, T.StructType):
+        return sum((value_bytes(column[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    return F.lit(8)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if its measured size proves it small, else as it is."""
+    width = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES))
+    size = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if a count proves it small, else as it is."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+def without(df: DataFrame, names: list[str]) -> list[str]:
+    """The columns of ``df`` but for those named like one of ``names`` in any case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
 
 
 def fold(id_col: str, parts: int) -> Column:

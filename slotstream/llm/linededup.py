@@ -15,7 +15,10 @@ or replaced.  Lines without a word stay.
 
 Defined cases: a null text stays null, an empty text stays empty; a text that loses all lines
 becomes empty, its document stays; rows that share a document id count as one after the other by
-their text; a null id comes first.
+their text's hash; of rows that share id and text one stays as it would alone, the others lose every
+line with a word (they repeat it); a null id comes first; input columns of any other name pass
+through, and those named like a count column give way where counts are asked for.  Ids are whole
+numbers.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ def _words(line: Column) -> Column:
 
 def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, part, pos, n, h1, h2, and four half keys) of each line with a word; part tells texts that share an id apart."""
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("part"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    lines = texts.select("id", F.xxhash64("text").alias("part"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     worded = lines.select("id", "part", "pos", _words(F.col("line")).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
 
@@ -79,7 +83,8 @@ def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     some = base.written(keys.join(shared, "half", "left_semi").select("h1", "h2").distinct(), "candidates")
     firsts = base.written(distinct.join(base.sized(some), ["h1", "h2"], "left_semi").select("h1", "h2", "first.*", "n"), "firsts")
     # Their words: only candidates' first lines are cut out of the texts again.
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("__id"), F.xxhash64(text_col).alias("__part"), F.posexplode(F.split(text_col, "\n")).alias("__pos", "line"))
+    cut = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("__id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    lines = cut.select("__id", F.xxhash64("text").alias("__part"), F.posexplode(F.split("text", "\n")).alias("__pos", "line"))
     met = (F.col("__id").eqNullSafe(F.col("id"))) & (F.col("__part") == F.col("part")) & (F.col("__pos") == F.col("pos"))
     texts = lines.join(base.sized(firsts), met).select("h1", "h2", F.struct("id", "part", "pos").alias("first"), "n", _words(F.col("line")).alias("w"))
     texts = base.written(texts.dropDuplicates(["h1", "h2"]), "texts")
@@ -107,16 +112,39 @@ def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return both.where(_edit("x", "y")).select("h1", "h2", "first").distinct()
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc, id, text, part) with ``copy``: true for all but one of the rows that share id and text.
+
+    Rows are told apart only where there are such rows: these are written with an ordinal of their own.
+    """
+    repeated = rows.where("text is not null").groupBy("id", "part").count().where("count > 1").select("id", "part")
+    repeated = base.written(repeated, "repeated")
+    if not repeated.limit(1).count():
+        return rows.withColumn("copy", F.lit(False))
+    few = base.sized(repeated.select(F.col("id").alias("rid"), F.col("part").alias("rpart")))
+    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("part") == F.col("rpart"))
+    some = base.written(rows.join(few, same, "left_semi").withColumn("at", F.monotonically_increasing_id()), "repeated-rows")
+    first = base.written(some.groupBy("id", "part").agg(F.min("at").alias("at")).select("at"), "first-rows")
+    marked = some.join(base.sized(first.withColumn("first", F.lit(True))), "at", "left").withColumn("copy", F.col("first").isNull())
+    return rows.join(few, same, "left_anti").withColumn("copy", F.lit(False)).unionByName(marked.drop("at", "first"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with the lines that go cut out of the text; ``counts`` adds n_lines and n_removed."""
-    names = docs.columns
-    gone = removed_lines(docs, id_col, text_col).groupBy("id", "part").agg(F.collect_set("pos").alias("__gone"))
-    gone = base.written(gone.select(F.col("id").alias("__id"), F.col("part").alias("__part"), "__gone"), "gone")
-    met = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__part"))
-    out = docs.join(base.sized(gone), met, "left").withColumn("__lines", F.split(text_col, "\n"))
-    kept = F.filter(F.col("__lines"), lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias(n) if n == text_col else F.col(f"`{n}`") for n in names]
+    names = base.without(docs, ["n_lines", "n_removed"]) if counts else docs.columns
+    doc = F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc")
+    rows = docs.select(doc, F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("part"))
+    gone = removed_lines(docs, id_col, text_col).groupBy("id", "part").agg(F.collect_set("pos").alias("gone"))
+    gone = base.written(gone.withColumnsRenamed({"id": "gid", "part": "gpart"}), "gone")
+    met = F.col("id").eqNullSafe(F.col("gid")) & (F.col("part") == F.col("gpart"))
+    out = _copies(rows).join(base.sized(gone), met, "left").withColumn("lines", F.split("text", "\n"))
+    worded = lambda x: F.size(_words(x)) > 0
+    stays = lambda x, i: F.when(F.col("copy"), ~worded(x)).otherwise(~F.array_contains("gone", i))
+    kept = F.when(F.col("copy") | F.col("gone").isNotNull(), F.filter("lines", stays)).otherwise(F.col("lines"))
+    out = out.withColumn("kept", kept)
+    text = F.when(F.col("copy") | F.col("gone").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
+    columns = [text.alias(n) if n.lower() == text_col.lower() else F.col(f"doc.`{n}`") for n in names]
     if counts:
-        columns += [F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed")]
+        size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+        columns += [size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_removed")]
     return out.select(*columns)

@@ -208,7 +208,7 @@ def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     by_doc = found.join(base.sized(shown), "raw").groupBy("__id", "__part").agg(F.map_from_entries(F.collect_list(F.struct("raw", "shown"))).alias("__new"))
     by_doc = base.written(by_doc.withColumnsRenamed({"__id": "__eid", "__part": "__epart"}), "by-doc")
     met = F.col(f"`{id_col}`").eqNullSafe(F.col("__eid")) & (F.xxhash64(text) == F.col("__epart"))
-    out = docs.join(base.sized(by_doc, base.BROADCAST_ROWS // 4), met, "left")
+    out = docs.join(base.sized(by_doc), met, "left")
     whole = F.zip_with(F.split(text, ANY, -1), F.transform(entities(text), lambda m: F.element_at("__new", m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     new_text = F.when(F.col("__new").isNull(), text).otherwise(F.array_join(whole, ""))
     columns = [new_text.alias(n) if n == text_col else F.col(f"`{n}`") for n in names]

@@ -56,3 +56,16 @@ def test_hot_lines_and_empty_table(spark):
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), counts=True).collect()}
     assert got[0] == (rows[0][1], 1, 0) and all(got[d] == ("", 1, 1) for d in range(1, 500))
     assert linededup.deduplicated(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "same line\n\nother", "a", 7, 1), (1, "same line\n\nother", "b", 8, 2), (1, "same line\n\nother", "b", 8, 2), (2, "Other\nnew", "c", 9, 3), (None, None, None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, part string, n_lines int, lines int")
+    plain = linededup.deduplicated(docs).collect()
+    assert len(plain) == 6 and [r.text for r in plain].count(None) == 2
+    one = sorted(r.text for r in plain if r.doc_id == 1)
+    assert one == ["", "", "same line\n\nother"] and [r.text for r in plain if r.doc_id == 2] == ["new"]
+    assert sorted((r.part, r.n_lines, r.lines) for r in plain if r.doc_id == 1) == [("a", 7, 1), ("b", 8, 2), ("b", 8, 2)]
+    counted = linededup.deduplicated(docs, counts=True)
+    assert counted.columns == ["doc_id", "text", "part", "lines", "n_lines", "n_removed"]
+    assert sorted((r.n_lines, r.n_removed) for r in counted.collect() if r.doc_id == 1) == [(3, 0), (3, 2), (3, 2)]
