@@ -123,16 +123,22 @@ ORACLE_SQL["op10_chat_formatting"] = r"""
 WITH RECURSIVE a AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations),
 l AS (SELECT conv_id, turn, i AS pos, ls[i] AS line, len(regexp_replace(regexp_extract(ls[i], '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level,
              trim(regexp_replace(lower(regexp_replace(ls[i], '^((?:[ \t]*>)+)[ \t]?', '')), '[ \t\r]+', ' ', 'g')) AS plain FROM a, unnest(range(1, len(ls) + 1)) AS t(i)),
-q AS (SELECT conv_id, turn, pos, level, (SELECT max(o.turn) FROM l AS o WHERE o.conv_id = l.conv_id AND o.level = 0 AND o.plain = l.plain AND o.turn < l.turn) AS source FROM l WHERE level > 0 AND plain <> ''),
-k AS (SELECT conv_id, turn, level, source, count(*) AS n FROM q WHERE source IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, sum(CASE WHEN plain <> '' AND (was IS NULL OR was = '' OR lev <> level) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run
+      FROM (SELECT *, lag(plain) OVER w AS was, lag(level) OVER w AS lev FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos))),
+ps AS (SELECT conv_id, turn, run, level, string_agg(plain, ' ' ORDER BY pos) AS plain, count(*) AS n FROM g WHERE plain <> '' GROUP BY ALL),
+q1 AS (SELECT conv_id, turn, run, level, n, (SELECT max(o.turn) FROM ps AS o WHERE o.conv_id = ps.conv_id AND o.level = 0 AND o.plain = ps.plain AND o.turn < ps.turn) AS source FROM ps WHERE level > 0),
+q2 AS (SELECT g.conv_id, g.turn, g.level, 1 AS n, (SELECT max(o.turn) FROM l AS o WHERE o.conv_id = g.conv_id AND o.level = 0 AND o.plain = g.plain AND o.turn < g.turn) AS source
+       FROM g JOIN q1 ON q1.conv_id = g.conv_id AND q1.turn = g.turn AND q1.run = g.run WHERE q1.source IS NULL AND g.plain <> ''),
+k AS (SELECT conv_id, turn, level, source, sum(n) AS n FROM (SELECT conv_id, turn, level, source, n FROM q1 UNION ALL SELECT conv_id, turn, level, source, n FROM q2) WHERE source IS NOT NULL GROUP BY ALL),
 p AS (SELECT conv_id, turn, arg_max(source, n * 1000000000 + source) AS parent_turn FROM k WHERE level = 1 GROUP BY ALL),
-up(conv_id, turn, seat, depth) AS (SELECT conv_id, turn, parent_turn, 1 FROM p UNION ALL SELECT up.conv_id, up.turn, p.parent_turn, depth + 1 FROM up JOIN p ON p.conv_id = up.conv_id AND p.turn = up.seat),
-th AS (SELECT conv_id, turn, arg_max(seat, depth) AS thread, max(depth) AS depth FROM up GROUP BY ALL),
+up(conv_id, turn, seat, depth, way) AS (SELECT conv_id, turn, turn, 0, [turn] FROM a UNION ALL SELECT up.conv_id, up.turn, p.parent_turn, depth + 1, list_prepend(p.parent_turn, way) FROM up JOIN p ON p.conv_id = up.conv_id AND p.turn = up.seat),
+th AS (SELECT conv_id, turn, arg_max(seat, depth) AS thread, max(depth) AS depth, arg_max(way, depth) AS way FROM up GROUP BY ALL),
+pl AS (SELECT *, row_number() OVER (PARTITION BY conv_id, thread ORDER BY way) - 1 AS place FROM th),
 c AS (SELECT conv_id, turn, sum(n) AS n FROM k GROUP BY ALL),
 own AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0) AS text, count(*) FILTER (level > 0) AS n_quoted, max(level) AS max_level FROM l GROUP BY ALL)
-SELECT a.conv_id, a.turn, a.role, CASE WHEN a.text IS NULL THEN NULL ELSE trim(coalesce(own.text, '')) END AS text, p.parent_turn, coalesce(th.thread, a.turn) AS thread, CAST(coalesce(th.depth, 0) AS BIGINT) AS depth,
+SELECT a.conv_id, a.turn, a.role, CASE WHEN a.text IS NULL THEN NULL ELSE trim(coalesce(own.text, '')) END AS text, p.parent_turn, pl.thread, CAST(pl.depth AS BIGINT) AS depth, CAST(pl.place AS BIGINT) AS place,
        CAST(coalesce(own.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(c.n, 0) AS BIGINT) AS n_linked, CAST(coalesce(own.max_level, 0) AS BIGINT) AS max_level
-FROM a LEFT JOIN own USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn) LEFT JOIN th USING (conv_id, turn) LEFT JOIN c USING (conv_id, turn)
+FROM a LEFT JOIN own USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn) LEFT JOIN pl USING (conv_id, turn) LEFT JOIN c USING (conv_id, turn)
 """
 
 QUERIES = {
