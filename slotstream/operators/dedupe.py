@@ -68,19 +68,3 @@ def promoted(frame: DataFrame, key: str, source: str, priority: str, order: str,
     best = F.max(F.when(F.col("__new"), F.col(priority))).over(before)
     emit = {"emit_all": F.lit(True), "first_seen": best.isNull(), "promote": best.isNull() | (F.col(priority) > best)}[mode]
     return fresh.withColumn("emitted", F.col("__new") & emit).drop("__new")
-
-
-def expiring(frame: DataFrame, key: str, time_ms: str, ttl_ms: int) -> DataFrame:
-    """Adds ``fresh``: no accepted row of the key within ``ttl_ms`` before.
-
-    The time-to-live runs from the last accepted row, which no fixed window frame can see, so the
-    times of a key are folded in order; one array of times per key is all that is gathered.
-    """
-    def step(state: Column, t: Column) -> Column:
-        new = state["at"].isNull() | (t - state["at"] >= ttl_ms)
-        return F.struct(F.when(new, t).otherwise(state["at"]).alias("at"), F.when(new, F.array_append(state["hits"], t)).otherwise(state["hits"]).alias("hits"))
-
-    zero = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("hits"))
-    hits = frame.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_set(time_ms)), zero, step)["hits"].alias("__hits"))
-    turn = F.row_number().over(Window.partitionBy(key, time_ms).orderBy("seq"))
-    return frame.withColumn("__turn", turn).join(hits, key).withColumn("fresh", F.array_contains("__hits", F.col(time_ms)) & (F.col("__turn") == 1)).drop("__hits", "__turn")

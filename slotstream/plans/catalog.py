@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from slotstream.plans import control, forks, fragments, ingest, peers, replication, transactions, wire  # noqa: F401  (they register)
+from slotstream.plans import control, dispatch, forks, fragments, gossip, ingest, peers, replication, transactions, wire  # noqa: F401  (they register)
 from slotstream.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

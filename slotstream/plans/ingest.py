@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from slotstream.operators import dedupe
+from slotstream.operators import dedupe, sequential
 from slotstream.plans.registry import query
 
 FRESH = "f AS (SELECT * FROM v_update QUALIFY row_number() OVER (PARTITION BY logical_key, source ORDER BY seq) = 1)"
@@ -102,7 +102,7 @@ r(source, seq, k, fresh, anchor) AS (SELECT source, seq, k, true, ms FROM e WHER
 SELECT source, seq, fresh FROM r""", recursive=True)
 def signature_ttl_dedupe(v_event):
     """One accepted event per source and day, the day running from the last accepted one."""
-    return dedupe.expiring(v_event.select("source", "seq", _ms().alias("ms")), "source", "ms", 86_400_000).select("source", "seq", "fresh")
+    return sequential.expiring(v_event.select("source", "seq", _ms().alias("ms")), "source", "ms", 86_400_000).select("source", "seq", "fresh")
 
 
 @query(f"WITH e AS (SELECT seq, source, CAST(floor({MS} / 86400000) AS BIGINT) AS w FROM v_event), r AS (SELECT *, row_number() OVER (PARTITION BY source, w ORDER BY seq) AS turn FROM e) SELECT seq, source, w AS window_index, turn <= 3 AS admitted FROM r")
@@ -117,10 +117,9 @@ def rate_budget(v_event):
 r(source, k, ema) AS (SELECT source, k, x FROM e WHERE k = 1 UNION ALL SELECT e.source, e.k, (7 * ema + e.x) // 8 FROM r JOIN e ON e.source = r.source AND e.k = r.k + 1)
 SELECT source, max(k) AS samples, arg_max(ema, k) AS ema FROM r GROUP BY source""", recursive=True)
 def rtt_ema(v_event):
-    """Integer moving average of each source, folded in order."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.floor("value").cast("bigint").alias("x")))), lambda s: s["x"])
-    fold = F.aggregate(F.col("xs"), F.lit(None).cast("bigint"), lambda a, x: F.coalesce(F.floor((7 * a + x) / 8).cast("bigint"), x))
-    return v_event.groupBy("source").agg(ordered.alias("xs")).select("source", F.size("xs").cast("bigint").alias("samples"), fold.alias("ema"))
+    """Integer moving average of each source, streamed in order."""
+    each = sequential.moving_average(v_event.select("source", "seq", F.floor("value").cast("bigint").alias("x")), "source", "x", "seq")
+    return each.groupBy("source").agg(F.count("*").alias("samples"), F.max_by("ema", "seq").alias("ema"))
 
 
 SUBSCRIPTIONS = [("a", "view", None, None), ("b", None, 7, None), ("c", "click", None, 3), ("d", None, None, None)]
@@ -224,15 +223,19 @@ def outcome_counts(v_event):
 
 @query("SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS sequence FROM v_event")
 def global_sequence(v_event):
-    """Gap-free global numbers: counts per block of sequence, then a number within the block.
+    """Gap-free global numbers: a number within a block of 4096, before it the counts of all earlier blocks.
 
-    Only the small table of block counts is ordered in one place; the rows are not.
+    Those are summed in two levels, within groups of 4096 blocks and over the groups, so that the
+    one ordered table has a row for 16 million numbers.  The join reuses the blocks' shuffle.
     """
     block = F.floor(F.col("seq") / 4096).cast("bigint")
-    sizes = v_event.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
-    base = sizes.agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("b")).select(F.explode(F.transform("b", lambda x, i: F.struct(x["block"].alias("block"), F.aggregate(F.slice("b", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y["n"]).alias("base")))).alias("x")).select("x.*")
-    inner = F.row_number().over(Window.partitionBy("block").orderBy("seq"))
-    return v_event.select("seq", block.alias("block")).withColumn("turn", inner).join(F.broadcast(base), "block").select("seq", (F.col("base") + F.col("turn") - 1).alias("sequence"))
+    upto = lambda w, by: w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = v_event.groupBy(block.alias("block")).agg(F.count("*").alias("n")).withColumn("top", F.floor(F.col("block") / 4096))
+    tops = sizes.groupBy("top").agg(F.sum("n").alias("n")).select("top", F.coalesce(F.sum("n").over(upto(Window.partitionBy(F.lit(0)), "top")), F.lit(0)).alias("below"))
+    inner = F.coalesce(F.sum("n").over(upto(Window.partitionBy("top"), "block")), F.lit(0))
+    base = sizes.withColumn("inner", inner).join(tops, "top").select("block", (F.col("inner") + F.col("below")).alias("base"))
+    turn = F.row_number().over(Window.partitionBy("block").orderBy("seq"))
+    return v_event.select("seq", block.alias("block")).withColumn("turn", turn).join(base, "block").select("seq", (F.col("base") + F.col("turn") - 1).alias("sequence"))
 
 
 @query(f"WITH e AS (SELECT seq, source, {MS} AS ms, min({MS}) OVER (PARTITION BY source) AS first_ms, lag({MS}) OVER (PARTITION BY source ORDER BY seq) AS before FROM v_event) SELECT seq, source, ms - first_ms >= 3600000 AND coalesce(ms - before >= 7200000, true) AS can_request FROM e")

@@ -51,13 +51,19 @@ def crds_trim(v_node):
 r AS (SELECT *, row_number() OVER w AS pos, coalesce(sum(stake) OVER (PARTITION BY origin ORDER BY score DESC, stake DESC, pubkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(stake) OVER (PARTITION BY origin) AS total FROM s WINDOW w AS (PARTITION BY origin ORDER BY score DESC, stake DESC, pubkey))
 SELECT origin, pubkey FROM r WHERE pos > 2 AND before * 100 >= total * 15""")
 def crds_prune(v_gossip, v_node):
-    """Relays to prune per origin: beyond two, once those ahead hold 15 percent of the stake."""
+    """Relays to prune per origin: beyond two, once those ahead hold 15 percent of the stake.
+
+    Relays of one origin and score are a level; ranks and stakes ahead are summed over the levels
+    (few: one for each score) and then within a level, so that an origin isn't one sorted group.
+    """
     scored = v_gossip.groupBy(F.col("kind").alias("origin"), "pubkey").agg(F.count("*").alias("score")).join(v_node.select("pubkey", "stake"), "pubkey", "left").na.fill(0, ["stake"])
-    group = Window.partitionBy("origin")
-    order = group.orderBy(F.desc("score"), F.desc("stake"), "pubkey")
-    before = F.coalesce(F.sum("stake").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = scored.select("origin", "pubkey", F.row_number().over(order).alias("pos"), before.alias("before"), F.sum("stake").over(group).alias("total"))
-    return ranked.where((F.col("pos") > 2) & (F.col("before") * 100 >= F.col("total") * 15)).select("origin", "pubkey")
+    levels = scored.groupBy("origin", "score").agg(F.count("*").alias("n"), F.sum("stake").alias("held"))
+    above = Window.partitionBy("origin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    levels = levels.select("origin", "score", sums("n", above).alias("ranks"), sums("held", above).alias("ahead"), F.sum("held").over(Window.partitionBy("origin")).alias("total"))
+    order = Window.partitionBy("origin", "score").orderBy(F.desc("stake"), "pubkey")
+    ranked = scored.withColumns({"pos": F.row_number().over(order), "own": sums("stake", order.rowsBetween(Window.unboundedPreceding, -1))}).join(levels, ["origin", "score"])
+    return ranked.where((F.col("ranks") + F.col("pos") > 2) & ((F.col("ahead") + F.col("own")) * 100 >= F.col("total") * 15)).select("origin", "pubkey")
 
 
 @query("SELECT ordinal, label FROM v_gossip WHERE substr(hash, 1, 2) IN ('0a', '0b') AND kind <> 'signup'")
@@ -96,12 +102,10 @@ def pull_response_split(v_gossip):
     return joined.select("ordinal", fate.alias("fate"))
 
 
-@query("""WITH s AS (SELECT kind, pubkey, count(*) AS dups FROM v_gossip GROUP BY ALL) SELECT kind, count(*) FILTER (dups >= 2) AS repeated, array_to_string(list(pubkey ORDER BY pubkey) FILTER (dups >= 2), ',') AS origins FROM s GROUP BY kind HAVING count(*) FILTER (dups >= 2) > 0""")
+@query("SELECT kind, pubkey AS origin, count(*) AS dups FROM v_gossip GROUP BY ALL HAVING count(*) >= 2")
 def prune_map(v_gossip):
-    """Per kind the origins seen twice or more, sorted."""
-    counts = v_gossip.groupBy("kind", "pubkey").agg(F.count("*").alias("dups")).where("dups >= 2")
-    names = F.transform(F.array_sort(F.collect_set("pubkey")), lambda x: x.cast("string"))
-    return counts.groupBy("kind").agg(F.count("*").alias("repeated"), F.array_join(names, ",").alias("origins"))
+    """Per kind the origins seen twice or more: a row each, so that no kind is gathered."""
+    return v_gossip.groupBy("kind", F.col("pubkey").alias("origin")).agg(F.count("*").alias("dups")).where("dups >= 2")
 
 
 @query("""WITH c AS (SELECT kind, ordinal, label, row_number() OVER (PARTITION BY kind ORDER BY ordinal) AS turn FROM v_gossip WHERE ordinal >= 500) SELECT kind, ordinal, label FROM c WHERE turn <= 64""")
@@ -118,11 +122,3 @@ def vote_index_overwrite(v_gossip):
     turn = F.row_number().over(Window.partitionBy("pubkey").orderBy("ordinal"))
     votes = v_gossip.where("kind = 'click'").select("pubkey", "ordinal", ((turn - 1) % 12).cast("bigint").alias("vote_index"))
     return votes.groupBy("pubkey", "vote_index").agg(F.max("ordinal").alias("ordinal"))
-
-
-@query()
-def bloom_digest(v_gossip):
-    """Membership digests: a 4096-bit filter with three hashes per hash prefix, as set positions."""
-    bits = [F.conv(F.substring("hash", 3 + 4 * k, 3), 16, 10).cast("int") for k in range(3)]
-    each = v_gossip.select(F.substring("hash", 1, 1).alias("prefix"), F.explode(F.array(*bits)).alias("bit")).distinct()
-    return each.groupBy("prefix").agg(F.count("*").alias("set_bits"), F.sort_array(F.collect_set("bit")).alias("bits"))

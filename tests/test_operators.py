@@ -73,7 +73,7 @@ def test_budgets(spark):
 
 def test_time_to_live_is_not_refreshed(spark):
     frame = spark.createDataFrame([("x", 0, 0), ("x", 1, 5), ("x", 2, 30), ("x", 3, 40), ("x", 4, 55)], "k string, seq bigint, ms bigint")
-    got = [r.fresh for r in dedupe.expiring(frame, "k", "ms", 25).orderBy("seq").collect()]
+    got = [r.fresh for r in sequential.expiring(frame, "k", "ms", 25).orderBy("seq").collect()]
     assert got == [True, False, True, False, True]
 
 
