@@ -14,7 +14,8 @@ the non-empty bucket that a fixed random order puts first.  Then:
    shingles rule out any further link drop out first;
 5. components come from large-star and small-star steps over the confirmed links.
 
-A true link of similarity 0.85 misses all bands with probability (1 - 0.85**6)**32, about 3e-7.
+A true link of similarity 0.85 misses all bands with probability (1 - 0.85**6)**32, about 3e-7; one
+of 0.8 with 6e-5.  A candidate's estimate is too low by five standard errors with about 3e-7.
 
 Defined cases: a null, empty or blank text has the empty set and links with nothing; a null doc_id
 has a null component and is kept; rows that share a doc_id are one node and stay together.
@@ -35,10 +36,8 @@ from slotstream.llm.graph import components
 from slotstream.llm.vector import SPACES, U64, Packed, Words, mix, window_hashes
 
 SHINGLE, BUCKETS, BANDS, ROWS, MANTISSA = 5, 192, 32, 6, 10
-#: Links hold at 100 * intersection >= PERCENT * union.
+#: Links hold at 100 * intersection >= percent * union, by default this.
 PERCENT = 85
-#: Candidates below this estimate are dropped: 0.85 less five standard errors of 192 registers.
-LEAST_ESTIMATE = 0.72
 #: Sets of one shingle that make it rare in the last comparison.
 RARE = 8
 _EMPTY = U64(2**64 - 1)
@@ -95,6 +94,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(((a == b).mean(axis=1) - chance) / (1 - chance), 0, 1)
 
 
+def least_estimate(percent: int) -> float:
+    """Candidates below this estimate are dropped: the threshold less five standard errors of the registers."""
+    p = percent / 100
+    return p - 5 * (p * (1 - p) / BUCKETS) ** 0.5
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, fp1, fp2, sketch) of each document; the sketch of an empty set is null."""
 
@@ -108,7 +113,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return base.with_columns(rows, "__text", "n bigint, fp1 bigint, fp2 bigint, sketch binary", score).drop("__text")
 
 
-def _members(nodes: DataFrame) -> DataFrame:
+def _members(nodes: DataFrame, percent: int) -> DataFrame:
     """(key, id, n, center) of each bucket with two sets or more."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +123,11 @@ def _members(nodes: DataFrame) -> DataFrame:
                 each = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
                 yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), b.column(0).take(each), b.column(1).take(each)], names=["key", "id", "n"])
 
-    # A set of up to five shingles is at least 0.85 similar to itself only.
-    rows = nodes.where("n > 5").select("id", "n", "sketch").mapInArrow(keys, "key bigint, id bigint, n bigint").select("key", "id", "n")
+    # A set of n shingles can only link with another one if n / (n + 1) reaches the threshold.
+    rows = nodes.where(F.col("n") * 100 >= percent * (F.col("n") + 1)).select("id", "n", "sketch").mapInArrow(keys, "key bigint, id bigint, n bigint").select("key", "id", "n")
     shared = rows.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("other")).where("center <> other").select("key", "center")
-    return base.written(rows.join(shared, "key"), "members")
+    # Written first: while it is small it is broadcast, and a bucket's members stay where they are.
+    return base.written(rows.join(base.sized(base.written(shared, "buckets")), "key"), "members")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,7 +138,7 @@ def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFr
     return base.written(base.with_columns(texts, "__text", "shingles array<bigint>", as_list).drop("__text"), "sets")
 
 
-def _across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Pairs (a, b) of open buckets' members in different components that may still be links.
 
     Shingles in at most ``RARE`` open sets are rare.  With all shingles ordered by frequency, the
@@ -148,17 +154,17 @@ def _across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     rare = rare.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("rare"))
     nodes = open_.select("id", "n", "component").distinct().join(rare, "id", "left")
     nodes = base.written(nodes.select("id", "n", "component", (F.col("n") - F.coalesce(F.size("rare"), F.lit(0))).alias("r"), "rare"), "nodes")
-    length = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     prefix = nodes.where("rare is not null").select("id", "n", "component", F.explode(F.slice("rare", F.lit(1), length)).alias("x")).where("x.df > 1").select(F.col("x.g").alias("key"), "id", "n", F.col("n").alias("r"), "component")
-    sized = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     by_rare = _paired(prefix, sized)
     shared = open_.select("key", "id").join(base.sized(nodes.select("id", "n", "r", "component")), "id")
     least = open_.groupBy("key").agg(F.min("n").alias("least"))
-    hopeful = shared.join(least, "key").where(100 * F.col("r") >= PERCENT * (F.col("n") + F.greatest("least", "r") - F.col("r")))
+    hopeful = shared.join(least, "key").where(100 * F.col("r") >= percent * (F.col("n") + F.greatest("least", "r") - F.col("r")))
     hopeful = base.written(hopeful.select("key", "id", "n", "r", "component"), "hopeful")
     mixed = hopeful.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     most = F.least("ra", "rb")
-    by_bucket = _paired(hopeful.join(mixed, "key", "left_semi"), 100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
+    by_bucket = _paired(hopeful.join(base.sized(base.written(mixed, "mixed-hopeful")), "key", "left_semi"), 100 * most >= percent * (F.col("na") + F.col("nb") - most))
     return base.written(by_rare.union(by_bucket).distinct(), "across")
 
 
@@ -168,9 +174,9 @@ def _paired(members: DataFrame, fits: Column) -> DataFrame:
     return x.join(y, "key").where((F.col("ca") < F.col("cb")) & fits).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Those pairs (a, b) of ids that are links: first by estimate, then on full sets."""
-    sketch = nodes.where("sketch is not null").select("id", "sketch")
+    sketch, least = nodes.where("sketch is not null").select("id", "sketch"), least_estimate(percent)
     pairs = base.written(pairs, "pairs")
     left = base.sized(pairs).join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
     both = base.written(left, "left")
@@ -180,18 +186,18 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
         for x in batches:
             if x.num_rows:
                 a, b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (2, 3))
-                yield x.select(["a", "b"]).filter(pa.array(estimate(a, b) >= LEAST_ESTIMATE))
+                yield x.select(["a", "b"]).filter(pa.array(estimate(a, b) >= least))
 
     near = base.written(both.mapInArrow(close, "a bigint, b bigint").distinct(), "near")
     sets = _sets(near.select(F.col("a").alias("id")).union(near.select("b")), docs, id_col, text_col)
     first = base.sized(near).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     second = first.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    linked = second.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
+    linked = second.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
     return base.written(linked.distinct(), "links")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each document."""
     docs = docs.select(id_col, text_col)
     sets = base.written(features(docs, id_col, text_col), "features")
@@ -199,24 +205,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     equal = base.sized(base.written(equal, "equal"))
     every = sets.join(equal, ["fp1", "fp2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).select("id", "n", "rep", "sketch")
     nodes = every.where("id = rep and n > 0").select("id", "n", "sketch")
-    members = _members(nodes)
+    members = _members(nodes, percent)
     stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(stars, nodes, docs, id_col, text_col)
+    links = _confirmed(stars, nodes, docs, id_col, text_col, percent)
     first = base.written(components(links), "components")
     placed = members.join(base.sized(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = base.written(placed.where("id <> center").join(mixed, "key", "left_semi"), "open")
+    open_ = base.written(placed.where("id <> center").join(base.sized(base.written(mixed, "mixed")), "key", "left_semi"), "open")
     label = first
-    across = _across(open_, docs, id_col, text_col)
+    across = _across(open_, docs, id_col, text_col, percent)
     if across.limit(1).count():
-        more = _confirmed(across, nodes, docs, id_col, text_col)
+        more = _confirmed(across, nodes, docs, id_col, text_col, percent)
         label = base.written(components(links.union(more)), "components")
     out = every.select("id", "n", "rep").join(base.sized(label.select(F.col("id").alias("rep"), "component")), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id."""
-    dropped = base.written(classes(docs, id_col, text_col).where("not kept").select(F.col("id").alias("__id")).distinct(), "dropped")
-    return docs.join(base.sized(dropped), F.col(id_col) == F.col("__id"), "left_anti")
+    dropped = base.written(classes(docs, id_col, text_col, percent).where("not kept").select(F.col("id").alias("gone")).distinct(), "dropped")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"))
+    return rows.join(base.sized(dropped), F.col("id") == F.col("gone"), "left_anti").select("doc.*")

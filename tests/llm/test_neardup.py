@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from slotstream.llm import graph, neardup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -15,7 +16,7 @@ def shingles(text):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {d: shingles(t) for d, t in rows}
     part = {d: d for d in sets}
 
@@ -28,7 +29,7 @@ def brute(rows):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-            if either and 100 * both >= 85 * either:
+            if either and 100 * both >= percent * either:
                 x, y = sorted((root(a), root(b)))
                 part[y] = x
     return {d: (len(sets[d]), root(d), root(d) == d) for d in ids}
@@ -56,13 +57,15 @@ def corpus():
     return rows
 
 
-def test_classes_match_all_pairs(spark):
-    rows = corpus()
-    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id bigint, text string, n int")
-    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(docs).collect()}
-    assert got == brute(rows)
-    left = sorted(r.doc_id for r in neardup.deduplicated(docs).collect())
-    assert left == sorted(d for d, x in got.items() if x[2])
+@pytest.mark.parametrize("percent", [85, 80])
+def test_classes_match_all_pairs(spark, percent):
+    rows = [*corpus(), (2000, "p q r s t u v w"), (2001, "p q r s t u v w x")]  # 4 of 5 shingles
+    docs = spark.createDataFrame([(d, t, 0, "g") for d, t in rows], "doc_id bigint, text string, n int, gone string")
+    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(docs, percent=percent).collect()}
+    assert got == brute(rows, percent) and got[2001][2] == (percent == 85)
+    left = neardup.deduplicated(docs, percent=percent)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, x in got.items() if x[2])
 
 
 def test_null_ids_repeated_rows_and_empty_table(spark):
