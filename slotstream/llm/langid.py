@@ -118,13 +118,16 @@ class Model:
 
 
 def training_sample(labelled: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """About ``most`` labelled rows, as many of each label as there are, by the hash of the id."""
+    """At most ``most`` labelled rows (20 a label at least), about as many of each label as there are, by the hash of the id."""
     counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
     per = max(20, most // max(1, len(counts)))
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col(label_col) == F.lit(label), F.lit(per / n)).otherwise(share)
-    return labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(23)), F.lit(1_000_000)) < share * 1_000_000)
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(23)), F.lit(1_000_000))
+    # The hash spreads the labels evenly, so that the last cut takes from all of them.
+    picked = labelled.withColumn("__place", place / share).where(F.col("__place") < 1_000_000)
+    return picked.orderBy("__place", F.xxhash64(F.col(id_col).cast("string"))).limit(per * max(1, len(counts))).drop("__place")
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Model:
