@@ -42,6 +42,14 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def without(df: DataFrame, names: list[str]) -> list[str]:
     """The columns of ``df`` but for those named like one of ``names`` in any case."""
     gone = {n.lower() for n in names}

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -117,17 +118,19 @@ class Split:
 
 
 def _segments(text: str, special: dict[str, int]) -> Iterator[tuple[str, int]]:
-    """The text cut at special tokens: (part, -1) for ordinary text, (token, its id) for a token."""
+    """The text cut at special tokens in one pass: (part, -1) for ordinary text, (token, its id) for a token."""
     lo = 0
-    while True:
-        found = min(((i, -len(s), s) for s in special if (i := text.find(s, lo)) >= 0), default=None)
-        if found is None:
-            yield text[lo:], -1
-            return
-        at, _, token = found
-        yield text[lo:at], -1
-        yield token, special[token]
-        lo = at + len(token)
+    for found in _finder(tuple(special)).finditer(text) if special else ():
+        yield text[lo : found.start()], -1
+        yield found[0], special[found[0]]
+        lo = found.end()
+    yield text[lo:], -1
+
+
+@lru_cache(maxsize=4)
+def _finder(special: tuple[str, ...]) -> re.Pattern:
+    """The leftmost special token, the longest of those that begin there."""
+    return re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))))
 
 
 def _word_starts(cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -322,11 +325,31 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out
     raise HashCollision
 
 
-def _by_bucket(docs: DataFrame, table: DataFrame, text_col: str, added: str, make, shared_vocabulary, seed: int) -> DataFrame:
-    """Each bucket of documents meets the ids of its own distinct words."""
+def _dealt(docs: DataFrame, text_col: str) -> tuple[str, DataFrame]:
+    """``docs`` with a bucket of about ``BUCKET_BYTES`` of text for each row, in a column of the returned name.
+
+    The bucket is a hash of the row.  Equal rows that would fill a bucket by themselves are written
+    once with numbers of their own and dealt by these, so that no group of copies meets in one task.
+    """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     buckets = max(1, -(-size // BUCKET_BYTES))
-    dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]), F.lit(buckets)))
+    name, key = base.fresh(docs, "bucket"), base.fresh(docs, "key")
+    rows = docs.withColumn(key, F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]))
+    heavy = rows.groupBy(key).agg(F.sum(F.octet_length(text_col)).alias("size")).where(F.col("size") > BUCKET_BYTES).select(key)
+    heavy = base.written(heavy, "heavy")
+    bucket = lambda k: F.pmod(k, F.lit(buckets)).cast("bigint")
+    dealt = rows.withColumn(name, bucket(F.col(key)))
+    if heavy.limit(1).count():
+        few = base.sized(heavy)
+        spread = bucket(F.xxhash64(F.monotonically_increasing_id()))
+        copies = base.written(rows.join(few, key, "left_semi").withColumn(name, spread), "copies")
+        dealt = rows.join(few, key, "left_anti").withColumn(name, bucket(F.col(key))).unionByName(copies)
+    return name, dealt.drop(key)
+
+
+def _by_bucket(docs: DataFrame, table: DataFrame, text_col: str, added: str, make, shared_vocabulary, seed: int) -> DataFrame:
+    """Each bucket of documents meets the ids of its own distinct words."""
+    name, dealt = _dealt(docs, text_col)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,9 +359,9 @@ def _by_bucket(docs: DataFrame, table: DataFrame, text_col: str, added: str, mak
                 split = Split(texts[lo:hi], shared_vocabulary.value.special, seed)
                 plain = split.token < 0
                 both = np.unique(np.stack([np.repeat(where[lo:hi], np.diff(split.first))[plain], split.hash[plain].view(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["__bucket", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["bucket", "hash"])
 
-    used = dealt.select("__bucket", text_col).mapInArrow(pairs, "__bucket bigint, hash bigint").distinct().join(table, "hash")
+    used = dealt.select(name, text_col).mapInArrow(pairs, "bucket bigint, hash bigint").distinct().join(table, "hash")
     schema = base.extended(docs.schema, added)
     new = T.StructType.fromDDL(added).names
 
@@ -349,7 +372,7 @@ def _by_bucket(docs: DataFrame, table: DataFrame, text_col: str, added: str, mak
         out = {n: pa.chunked_array([pa.array(p[n], type=base.arrow_type(schema[n].dataType)) for p in parts]) for n in new}
         return pa.table({n: out[n] if n in out else texts.column(n) for n in schema.names})
 
-    return dealt.groupBy("__bucket").cogroup(used.groupBy("__bucket")).applyInArrow(meet, schema)
+    return dealt.groupBy(name).cogroup(used.groupBy("bucket")).applyInArrow(meet, schema)
 
 
 def decode(frame: DataFrame, path: str | None = None, ids_col: str = "ids", output: str = "decoded") -> DataFrame:

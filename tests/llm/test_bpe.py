@@ -37,3 +37,20 @@ def test_round_trip_and_empty_table(spark):
     back = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs)).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode(docs.limit(0), output="digests").count() == 0
+
+
+def test_copies_beyond_a_bucket_and_special_tokens(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 2000)
+    texts = ["hot text of one group " * 3] * 300 + [f"text number {i}" for i in range(50)]
+    docs = spark.createDataFrame([(7 if "hot" in t else i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, bucket string")
+    name, dealt = bpe._dealt(docs, "text")
+    sizes = [r["count"] for r in dealt.where("doc_id = 7").groupBy(name).count().collect()]
+    assert name == "bucket_" and max(sizes) < 100 and sum(sizes) == 300
+    got = bpe.encode(docs, output="digests", broadcast_words=0)
+    assert got.columns == [*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256"]
+    want = dict(zip(texts, expected(texts), strict=True))
+    rows = got.collect()
+    assert len(rows) == 350 and all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == want[r.text] for r in rows)
+    special = {"<a>": 1, "<a><b>": 2}
+    assert list(bpe._segments("x<a><b>y<a>", special)) == [("x", -1), ("<a><b>", 2), ("y", -1), ("<a>", 1), ("", -1)]
+    assert sum(k == 1 for _, k in bpe._segments("<a>" * 200_000, special)) == 200_000
