@@ -165,3 +165,28 @@ def test_signature_vectors():
         assert ed25519.verify(*raw)
         assert not ed25519.verify(raw[0], raw[1] + b"x", raw[2]) and not ed25519.verify(raw[0], raw[1], raw[2][:-1])
     assert hashlib.sha512(b"").digest_size == 64
+
+
+@pytest.mark.parametrize("width", [1, 4, 4096])
+def test_fork_index_against_a_walk(spark, width):
+    """Depths, roots and chains of a random forest, some parents unknown, some with a greater number."""
+    from slotstream.operators import forks
+
+    r = random.Random(11)
+    numbers = sorted(r.sample(range(200), 90))
+    order = [*numbers[1::9], *[n for n in numbers if n not in numbers[1::9]]]  # some parents come later in number
+    parent = {s: (r.choice(order[max(0, k - 6) : k]) if k and r.random() < 0.93 else None) for k, s in enumerate(order)}
+    rows = [(s, p if p is not None else r.choice([None, 999])) for s, p in parent.items()]
+    index = forks.Index(spark.createDataFrame(rows, "slot bigint, parent_slot bigint"), width)
+
+    def walk(s):
+        out = [s]
+        while parent[out[-1]] is not None:
+            out.append(parent[out[-1]])
+        return out
+
+    got = {x.slot: (x.parent, x.depth, x.root) for x in index.depth.collect()}
+    assert got == {s: (parent[s], len(walk(s)) - 1, walk(s)[-1]) for s in parent}
+    for s in r.sample(numbers, 3) + [max(parent, key=lambda s: len(walk(s)))]:
+        chain = [x.slot for x in index.chain(spark.createDataFrame([(s,)], "slot bigint")).collect()]
+        assert sorted(chain) == sorted(walk(s))
