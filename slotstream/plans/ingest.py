@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from slotstream.functions import decode
 from slotstream.operators import dedupe, sequential
 from slotstream.plans.registry import query
 
@@ -280,3 +281,15 @@ def submit_guard(v_event):
     outcome = F.when(F.col("value") < 5, "stale_opportunity").when(F.col("source") % 17 == 0, "suppressed").when(F.col("kind") == "signup", "replay_pending").when(F.col("kind") == "error", "unsafe_plane").when(F.abs(F.col("slot") % 40 - 20) > 15, "state_drift").otherwise("accepted")
     route = F.when(F.col("value") >= 50, "rpc").when(F.col("value") >= 20, "direct").when(F.col("value") >= 5, "relay")
     return v_event.select("seq", outcome.alias("outcome"), route.alias("route"))
+
+
+@query("""SELECT seq, CASE seq % 4 WHEN 0 THEN 'logs' WHEN 1 THEN 'transaction' WHEN 2 THEN 'account' END AS method, CASE WHEN seq % 4 < 3 THEN slot END AS slot, CASE WHEN seq % 4 = 0 THEN CAST(source % 3 = 0 AS BOOLEAN) END AS failed, CASE WHEN seq % 4 = 0 THEN 2 END AS n_logs,
+CASE WHEN seq % 4 IN (1, 2) AND length(props) <= 10 THEN md5(props) END AS payload, CASE WHEN seq % 4 = 3 THEN 'not_a_notification' WHEN seq % 4 IN (1, 2) AND length(props) > 10 THEN 'too_large' END AS error FROM v_event""")
+def notifications(v_event):
+    """Websocket messages of three kinds onto events: logs with their verdict, transactions and accounts with a
+    base64 payload under its size cap; other messages are reported."""
+    seq = F.col("seq")
+    logs = F.to_json(F.struct(F.lit("logsNotification").alias("method"), F.struct(F.struct(F.struct(F.col("slot").alias("slot")).alias("context"), F.struct(F.when(F.col("source") % 3 == 0, "failed").alias("err"), F.array(F.lit("a"), F.lit("b")).alias("logs")).alias("value")).alias("result")).alias("params")))
+    body = lambda method: F.to_json(F.struct(F.lit(method).alias("method"), F.struct(F.struct(F.struct(F.col("slot").alias("slot")).alias("context"), F.struct(F.array(F.base64(F.encode("props", "UTF-8")), F.lit("base64")).alias("data")).alias("value")).alias("result")).alias("params")))
+    message = F.when(seq % 4 == 0, logs).when(seq % 4 == 1, body("transactionNotification")).when(seq % 4 == 2, body("accountNotification")).otherwise(F.lit('{"jsonrpc":"2.0","result":7}'))
+    return decode.notification(v_event.select("seq", message.alias("message")), "message", most=10).select("seq", "method", "slot", "failed", "n_logs", F.md5("payload").alias("payload"), "error")

@@ -129,11 +129,12 @@ def latency_rank_rotate(v_peer):
     return each.select("shred_version", "pubkey", "latency", F.pmod(pos - 3, F.count("*").over(group)).alias("rotated"))
 
 
-@query()
+@query("""WITH h AS (SELECT pubkey, stake, (CAST(concat('0x', substr(md5(concat('sample:', pubkey)), 1, 12)) AS BIGINT) + 1) / 281474976710657.0 AS u FROM v_node)
+SELECT pubkey, stake, CASE WHEN stake > 0 THEN CAST(length(bin(stake)) - 1 AS BIGINT) ELSE -1 END AS bucket FROM h ORDER BY CASE WHEN stake > 0 THEN -ln(u) / stake ELSE 'infinity'::DOUBLE END, pubkey LIMIT 50""")
 def weighted_sample(v_node):
     """Fifty nodes by weighted sampling without replacement, and their buckets of stake."""
     key = tables.weighted_key(F.col("stake").cast("double"), F.col("pubkey").cast("string"))
-    bucket = F.when(F.col("stake") > 0, F.floor(F.log2(F.col("stake").cast("double"))).cast("bigint")).otherwise(F.lit(-1))
+    bucket = F.when(F.col("stake") > 0, F.length(F.bin("stake")) - 1).otherwise(-1).cast("bigint")
     return v_node.withColumn("key", key).orderBy("key", "pubkey").limit(50).select("pubkey", "stake", bucket.alias("bucket"))
 
 

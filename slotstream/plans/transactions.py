@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -116,3 +118,33 @@ def ordered_distinct(v_tx):
     first = v_tx.groupBy("slot", "program_account").agg(F.min("ix").alias("first_ix"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("first_ix", "program_account"))), lambda x: x["program_account"].cast("string"))
     return first.groupBy("slot").agg(F.array_join(ordered, ",").alias("routes"))
+
+
+#: Provider filters as a table: each null selector lets anything pass; include, exclude and required are accounts.
+PROVIDER_FILTERS = [("votes_only", True, None, None, None, None), ("no_failed", None, False, None, None, None), ("include", None, None, 3, None, None), ("exclude", None, None, None, 5, None), ("required", False, False, None, None, 7)]
+_VALUES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() for x in f) + ")" for f in PROVIDER_FILTERS)
+
+
+@query(f"""WITH t AS (SELECT slot, bool_and(program = 'vote') AS vote, bool_or(failed) AS failed, list(DISTINCT account % 11) AS keys FROM v_tx GROUP BY slot),
+f AS (SELECT name, CAST(vote AS BOOLEAN) AS vote, CAST(failed AS BOOLEAN) AS failed, CAST(include AS BIGINT) AS include, CAST(exclude AS BIGINT) AS exclude, CAST(required AS BIGINT) AS required FROM (VALUES {_VALUES}) AS v(name, vote, failed, include, exclude, required))
+SELECT f.name, count(*) AS n, min(slot) AS first_slot, max(slot) AS last_slot FROM t JOIN f ON (f.vote IS NULL OR f.vote = t.vote) AND (f.failed IS NULL OR f.failed = t.failed) AND (f.include IS NULL OR list_contains(keys, f.include)) AND (f.exclude IS NULL OR NOT list_contains(keys, f.exclude)) AND (f.required IS NULL OR list_contains(keys, f.required)) GROUP BY f.name""")
+def provider_filters(v_tx):
+    """Transactions by each of a provider's filters: vote, failed, and accounts to include, exclude or require."""
+    tx = v_tx.groupBy("slot").agg(F.bool_and(F.col("program") == "vote").alias("vote"), F.bool_or("failed").alias("failed"), F.collect_set(F.col("account") % 11).alias("keys"))
+
+    def passes(f):
+        _, vote, failed, include, exclude, required = f
+        tests = [(F.col("vote") == vote, vote), (F.col("failed") == failed, failed), (F.array_contains("keys", F.lit(include).cast("bigint")), include), (~F.array_contains("keys", F.lit(exclude).cast("bigint")), exclude), (F.array_contains("keys", F.lit(required).cast("bigint")), required)]
+        return reduce(lambda a, b: a & b, [c for c, wanted in tests if wanted is not None], F.lit(True))
+
+    names = F.filter(F.array(*[F.when(passes(f), F.lit(f[0])) for f in PROVIDER_FILTERS]), lambda x: x.isNotNull())
+    return tx.select("slot", F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+
+
+@query("""WITH t AS (SELECT slot, bool_and(program = 'vote') AS simple_vote, list(DISTINCT account % 11) AS keys FROM v_tx GROUP BY slot), m AS (SELECT unnest(['all', 'all_with_votes', 'mentions']) AS mode)
+SELECT mode, count(*) AS n, sum(slot) AS slots FROM t, m WHERE mode = 'all_with_votes' OR (mode = 'all' AND NOT simple_vote) OR (mode = 'mentions' AND list_contains(keys, 4)) GROUP BY mode""")
+def logs_filter(v_tx):
+    """The three log subscriptions: all but simple votes, all, and those that mention one key."""
+    tx = v_tx.groupBy("slot").agg(F.bool_and(F.col("program") == "vote").alias("simple_vote"), F.bool_or(F.col("account") % 11 == 4).alias("mentions"))
+    modes = F.array(F.lit("all_with_votes"), F.when(~F.col("simple_vote"), "all"), F.when(F.col("mentions"), "mentions"))
+    return tx.select("slot", F.explode(F.filter(modes, lambda x: x.isNotNull())).alias("mode")).groupBy("mode").agg(F.count("*").alias("n"), F.sum("slot").alias("slots"))

@@ -60,7 +60,8 @@ def packets(v_shred):
     return v_shred.select("slot", "idx", "arrival", F.when(code, coded).otherwise(data).alias("packet"))
 
 
-@query()
+@query("""SELECT CASE WHEN sig <> 'R' THEN 'Data' WHEN idx % 3 < 2 THEN 'Code' END AS type, CASE WHEN sig = 'R' AND idx % 3 = 2 THEN 'bad_coding' END AS error, count(*) AS n, count(*) FILTER (sig <> 'R' OR idx % 3 < 2) AS same,
+count(*) FILTER (sig <> 'R' AND last_in_slot) AS last, count(*) FILTER (sig <> 'R' AND data_complete) AS complete FROM v_shred GROUP BY ALL""")
 def shred_wire_roundtrip(v_shred):
     """Headers parsed from packet bytes: agreement with the rows they were made of, and errors."""
     parsed = packets(v_shred).select(F.col("slot").alias("s"), F.col("idx").alias("i"), *[c.alias(n) for n, c in wire.header(F.col("packet")).items()])
@@ -77,7 +78,8 @@ def synthetic_payload(slot: int, n: int) -> bytes:
     return bytes(body)
 
 
-@query()
+@query("""WITH n AS (SELECT slot, count(*) AS n FROM v_tx GROUP BY slot)
+SELECT slot, n AS transactions, CAST(56 + 170 * n + 10 * (n // 5) + (n % 5) * (n % 5 - 1) // 2 AS BIGINT) AS bytes, CAST(CASE WHEN slot % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS skipped FROM n""")
 def entry_stream_decode(v_tx):
     """Transactions found by structure in synthetic payloads cut into fragments, a torn one in front of every third."""
     def build(batches):
@@ -92,7 +94,7 @@ def entry_stream_decode(v_tx):
     return entries.transaction_ranges(made).groupBy("slot").agg(F.count("*").alias("transactions"), F.max("end").alias("bytes"), F.max("skipped").alias("skipped"))
 
 
-@query()
+@query("SELECT DISTINCT slot, fec_set, CAST(CASE WHEN (slot + fec_set) % 4 = (slot * 3 + 1) % 4 THEN 1 ELSE 2 END AS BIGINT) AS recovered, true AS exact FROM v_shred")
 def rs_recover(v_shred):
     """Erasure sets of four data and two code shards with two shards lost: all data comes back."""
     def build(batches):

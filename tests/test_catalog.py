@@ -39,7 +39,7 @@ def test_query_matches_sql(spark, con, name):
     assert rows(got.select(*want.columns).collect()) == rows(want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"rs_recover"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
 
