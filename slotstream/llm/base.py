@@ -17,7 +17,7 @@ __all__ = ["written"]
 #: Bytes that one side of a join may have to be broadcast (values, and ROW_BYTES a row); above it the join shuffles.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 32
 #: Bytes of text that a Python worker holds as arrays at once (a longer single text stands alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 8 << 20
 

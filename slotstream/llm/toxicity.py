@@ -2,8 +2,9 @@
 
 Tokens are words (digits, letters and all bytes over 0x7F, A-Z lowered) and the byte prefixes of
 words in ``PREFIXES``.  A feature counts if it is more frequent in toxic than in other labelled
-documents by a likelihood-ratio test (signed root at least ``LEAST_Z``); its score is the log-odds of
-its document frequencies with a Dirichlet prior, split by the size of the two groups, less one
+documents by a likelihood-ratio test (signed root at least ``LEAST_Z``) and its score is at least
+``LEAST_WEIGHT`` (a large corpus makes the smallest difference significant); the score is the log-odds
+of its document frequencies with a Dirichlet prior, split by the size of the two groups, less one
 standard error.  A word scores by its longest feature that counts; every other word costs
 ``NEUTRAL``.  A linear-time scan finds all maximal-scoring segments of a text, and extreme-value
 statistics turn their scores into the text's score: with Karlin-Altschul's lambda and K of the clean
@@ -42,7 +43,7 @@ from slotstream.llm.vector import U64, Packed, Words, alnum, mix
 PREFIXES = (4, 5, 6, 7, 8, 10)
 #: Pseudo-documents that hold a feature: one, and PRIOR times its share of all documents.
 PRIOR = 20.0
-LEAST_Z, NEUTRAL = 4.5, -0.15
+LEAST_Z, LEAST_WEIGHT, NEUTRAL = 4.5, 1.5, -0.15
 MOST_FEATURES, CALIBRATION_DOCS, COPY_KEYS = 1_000_000, 20_000, 4
 #: Candidate features whose hashes may go to the workers to thin out what they count (8 bytes each).
 BROADCAST_FEATURES = 4_000_000
@@ -51,16 +52,22 @@ ADDED = "score double, predicted int"
 _LEVELS = len(PREFIXES) + 1
 
 
-def tokens(texts: list[bytes | None]) -> tuple[Words, np.ndarray]:
-    """The words, and one row of feature hashes for each word: prefixes from short to long, then the word."""
+def read(texts: list[bytes | None]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words, the running sums that hash their prefixes, and a hash of each word."""
     words = Words(Packed(texts, b"\n"), alnum())
     sums = words.prefix_sums(lower=True)
-    out = np.empty((len(words.start), _LEVELS), np.int64)
+    return words, sums, mix(words.hashes(True, sums)).view(np.int64)
+
+
+def features_of(words: Words, sums: np.ndarray, whole: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One row of feature hashes for each of the words ``at``: prefixes from short to long, then the word."""
+    out = np.empty((len(at), _LEVELS), np.int64)
+    start, stop = words.start[at], words.stop[at]
     for k, n in enumerate(PREFIXES):
-        out[:, k] = mix(words.hashes(True, sums, np.minimum(words.start + n, words.stop)) + U64(k + 1)).view(np.int64)
-        out[words.stop - words.start <= n, k] = 0  # the word itself says it
-    out[:, -1] = mix(words.hashes(True, sums)).view(np.int64)
-    return words, out
+        out[:, k] = mix(words.hashes(True, sums, np.minimum(start + n, stop), at) + U64(k + 1)).view(np.int64)
+        out[stop - start <= n, k] = 0  # the word itself says it
+    out[:, -1] = whole[at]
+    return out
 
 
 def segments(at: np.ndarray, score: np.ndarray, neutral: float = NEUTRAL) -> list[tuple[float, int, int]]:
@@ -110,15 +117,16 @@ class Model:
         most = 1 + (1 + PRIOR) / n
         odds = np.log(a / (nx * most - a)) - np.log(b / (ny * most - b))
         ratio = x * np.log(np.maximum(x, 1e-9) / np.maximum(1e-9, (x + y) * nx / n)) + y * np.log(np.maximum(y, 1e-9) / np.maximum(1e-9, (x + y) * ny / n))
-        counts = (x * ny > y * nx) & (2 * ratio >= LEAST_Z**2)
-        return np.where(counts, np.maximum(0, odds - np.sqrt(1 / a + 1 / b)), 0).astype(np.float32)
-
-    def word_scores(self, features: np.ndarray, left_out: int | None = None) -> np.ndarray:
-        """Score of each word by its longest feature that counts (0 if none does)."""
-        out = np.zeros(len(features), np.float32)
-        if len(self.h):
-            distinct, first, back = np.unique(features[:, -1], return_index=True, return_inverse=True)
-            rows, best = features[first], np.zeros(len(distinct), np.float32)
+        weight = odds - np.sqrt(1 / a + 1 / b)
+        counts = (x * ny > y * nx) & (2 * ratio >= LEAST_Z**2) & (weight >= LEAST_WEIGHT)
+        return np.where(counts, weight, 0).astype(np.float32)
+
+    def word_scores(self, words: Words, sums: np.ndarray, whole: np.ndarray, left_out: int | None = None) -> np.ndarray:
+        """Score of each word by its longest feature that counts (0 if none does); equal words are looked up once."""
+        out = np.zeros(len(whole), np.float32)
+        if len(self.h) and len(whole):
+            distinct, first, back = np.unique(whole, return_index=True, return_inverse=True)
+            rows, best = features_of(words, sums, whole, first), np.zeros(len(distinct), np.float32)
             for k in range(_LEVELS):
                 place = np.minimum(np.searchsorted(self.h, rows[:, k]), len(self.h) - 1)
                 w = np.where(self.h[place] == rows[:, k], self.weights[left_out][place], 0)
@@ -128,8 +136,8 @@ class Model:
 
     def scan(self, texts: list[bytes | None], left_out: int | None = None) -> tuple[Words, np.ndarray, list[list[tuple[float, int, int]]]]:
         """Words, their scores, and the maximal-scoring segments of each text (words counted within the text)."""
-        words, features = tokens(texts)
-        score = self.word_scores(features, left_out)
+        words, sums, whole = read(texts)
+        score = self.word_scores(words, sums, whole, left_out)
         at = np.flatnonzero(score)
         edge = np.searchsorted(at, words.first)
         found = [segments(at[a:b] - words.first[d], score[at[a:b]]) if a < b else [] for d, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))]
@@ -185,21 +193,21 @@ class Model:
         self.curve = (max(0.0, float(w[0])), float(w[1]))
 
 
-def _distinct_per_text(words: Words, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each feature once per text: its hash, and the text."""
+def _once_per_text(texts: list[bytes | None]) -> np.ndarray:
+    """The hash of each feature of each text, once per text."""
+    words, sums, whole = read(texts)
     doc = np.repeat(np.arange(words.packed.n), words.count)
-    order = np.lexsort((features[:, -1], doc))
-    h, d = features[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:, -1] != h[:-1, -1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
-    flat, doc = h.reshape(-1), np.repeat(d, _LEVELS)
+    order = np.lexsort((whole, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (whole[order[1:]] != whole[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+    at = order[new]
+    flat, doc = features_of(words, sums, whole, at).reshape(-1), np.repeat(doc[at], _LEVELS)
     flat, doc = flat[flat != 0], doc[flat != 0]
     order = np.lexsort((flat, doc))
     flat, doc = flat[order], doc[order]
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
-    return flat[new], doc[new]
+    return flat[new]
 
 
 def _document_frequency(texts: DataFrame, known=None) -> DataFrame:
@@ -209,7 +217,7 @@ def _document_frequency(texts: DataFrame, known=None) -> DataFrame:
         for b in batches:
             body = b.column(0).cast(pa.binary())
             for lo, hi in base.column_chunks(body):
-                h, n = np.unique(_distinct_per_text(*tokens(body.slice(lo, hi - lo).to_pylist()))[0], return_counts=True)
+                h, n = np.unique(_once_per_text(body.slice(lo, hi - lo).to_pylist()), return_counts=True)
                 if known is not None:
                     keep = np.isin(h, known.value, assume_unique=True)
                     h, n = h[keep], n[keep]

@@ -36,17 +36,17 @@ def byte_values(lower: bool) -> np.ndarray:
     return values[lowered()] if lower else values
 
 
-@lru_cache(maxsize=8)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = np.full(n, _P, U64), np.full(n, _P_INV, U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 at least of the base and of its inverse modulo 2**64."""
-    return _powers(max(16, int(n).bit_length()))
+    """Powers 0..n-1 at least of the base and of its inverse modulo 2**64; only the longest tables are kept."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, int(n).bit_length())
+        up, down = np.full(size, _P, U64), np.full(size, _P_INV, U64)
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)]
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,12 +90,13 @@ class Words:
         np.cumsum(byte_values(lower)[self.packed.buf] * up[: len(self.packed.buf)], out=sums[1:])
         return sums
 
-    def hashes(self, lower: bool, sums: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word (or of its bytes before ``stop``)."""
+    def hashes(self, lower: bool, sums: np.ndarray | None = None, stop: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word (or of the words ``at``; or of their bytes before ``stop``)."""
         sums = self.prefix_sums(lower) if sums is None else sums
-        stop = self.stop if stop is None else stop
+        start = self.start if at is None else self.start[at]
+        stop = (self.stop if at is None else self.stop[at]) if stop is None else stop
         _, down = powers(len(self.packed.buf))
-        return mix((sums[stop] - sums[self.start]) * down[self.start] + (stop - self.start).astype(U64))
+        return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U64))
 
 
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
