@@ -18,6 +18,8 @@ __all__ = ["written"]
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 32
 #: Bytes of text that a Python worker holds as arrays at once (a longer single text stands alone).
 CHUNK_BYTES = 1 << 19
+#: Texts of a chunk, however short they are.
+CHUNK_ROWS = 2048
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 8 << 20
 
@@ -105,7 +107,7 @@ def column_chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """The ranges of :func:`chunks` for a binary column, without copying it out of Arrow."""
     lo = size = 0
     for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
-        if i > lo and size + n > CHUNK_BYTES:
+        if i > lo and (size + n > CHUNK_BYTES or i - lo >= CHUNK_ROWS):
             yield lo, i
             lo, size = i, 0
         size += n
@@ -125,7 +127,7 @@ def chunks(texts: list[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tuple
     lo = size = 0
     for i, x in enumerate(texts):
         n = len(x) if x else 0
-        if i > lo and size + n > most:
+        if i > lo and (size + n > most or i - lo >= CHUNK_ROWS):
             yield lo, i
             lo, size = i, 0
         size += n
