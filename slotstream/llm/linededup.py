@@ -32,7 +32,7 @@ LEAST_WORDS = 8
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
 
 
 def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
