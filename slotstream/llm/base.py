@@ -37,11 +37,15 @@ def value_bytes(column: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if its measured size proves it small, else as it is."""
+def sized(df: DataFrame, share: int = 1) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if its measured size proves it small, else as it is.
+
+    Small is at most ``BROADCAST_BYTES`` over ``share``: the driver holds a table several times over
+    while it builds, keeps and serves it.
+    """
     width = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES))
     size = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if size <= BROADCAST_BYTES // share else df
 
 
 def fresh(df: DataFrame, stem: str) -> str:

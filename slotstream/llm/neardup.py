@@ -40,6 +40,10 @@ SHINGLE, BUCKETS, BANDS, ROWS, MANTISSA = 5, 192, 32, 6, 10
 PERCENT = 85
 #: Sets of one shingle that make it rare in the last comparison.
 RARE = 8
+#: Part of the broadcast bound that tables of ids, keys and components take here; beyond it they shuffle, as thin rows.
+SHARE = 4
+#: Rows with sketches that a Python worker works on at once (``BANDS`` keys come from each).
+SLICE = 1024
 _EMPTY = U64(2**64 - 1)
 
 
@@ -113,11 +117,18 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return base.with_columns(rows, "__text", "n bigint, fp1 bigint, fp2 bigint, sketch binary", score).drop("__text")
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``SLICE`` at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, SLICE):
+            yield b.slice(lo, SLICE)
+
+
 def _members(nodes: DataFrame, percent: int) -> DataFrame:
     """(key, id, n, center) of each bucket with two sets or more."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             if b.num_rows:
                 k = band_keys(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS))
                 each = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
@@ -127,7 +138,7 @@ def _members(nodes: DataFrame, percent: int) -> DataFrame:
     rows = nodes.where(F.col("n") * 100 >= percent * (F.col("n") + 1)).select("id", "n", "sketch").mapInArrow(keys, "key bigint, id bigint, n bigint").select("key", "id", "n")
     shared = rows.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("other")).where("center <> other").select("key", "center")
     # Written first: while it is small it is broadcast, and a bucket's members stay where they are.
-    return base.written(rows.join(base.sized(base.written(shared, "buckets")), "key"), "members")
+    return base.written(rows.join(base.sized(base.written(shared, "buckets"), SHARE), "key"), "members")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,13 +169,14 @@ def _across(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
     prefix = nodes.where("rare is not null").select("id", "n", "component", F.explode(F.slice("rare", F.lit(1), length)).alias("x")).where("x.df > 1").select(F.col("x.g").alias("key"), "id", "n", F.col("n").alias("r"), "component")
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     by_rare = _paired(prefix, sized)
-    shared = open_.select("key", "id").join(base.sized(nodes.select("id", "n", "r", "component")), "id")
+    shared = open_.select("key", "id").join(base.sized(nodes.select("id", "n", "r", "component"), SHARE), "id")
     least = open_.groupBy("key").agg(F.min("n").alias("least"))
     hopeful = shared.join(least, "key").where(100 * F.col("r") >= percent * (F.col("n") + F.greatest("least", "r") - F.col("r")))
     hopeful = base.written(hopeful.select("key", "id", "n", "r", "component"), "hopeful")
     mixed = hopeful.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     most = F.least("ra", "rb")
-    by_bucket = _paired(hopeful.join(base.sized(base.written(mixed, "mixed-hopeful")), "key", "left_semi"), 100 * most >= percent * (F.col("na") + F.col("nb") - most))
+    hopeful = base.written(hopeful.join(base.sized(base.written(mixed, "mixed-hopeful"), SHARE), "key", "left_semi"), "paired")
+    by_bucket = _paired(hopeful, 100 * most >= percent * (F.col("na") + F.col("nb") - most))
     return base.written(by_rare.union(by_bucket).distinct(), "across")
 
 
@@ -176,21 +188,23 @@ def _paired(members: DataFrame, fits: Column) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Those pairs (a, b) of ids that are links: first by estimate, then on full sets."""
-    sketch, least = nodes.where("sketch is not null").select("id", "sketch"), least_estimate(percent)
-    pairs = base.written(pairs, "pairs")
-    left = base.sized(pairs).join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
+    pairs, least = base.written(pairs, "pairs"), least_estimate(percent)
+    ends = base.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+    # Only these sketches are dealt out; a pair with its sketch is 400 bytes, so few of those are broadcast.
+    sketch = base.written(nodes.select("id", "sketch").join(base.sized(ends, SHARE), "id", "left_semi"), "sketches")
+    left = base.sized(pairs, SHARE).join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
     both = base.written(left, "left")
-    both = base.sized(both).join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
+    both = base.sized(both, SHARE).join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in sliced(batches):
             if x.num_rows:
                 a, b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (2, 3))
                 yield x.select(["a", "b"]).filter(pa.array(estimate(a, b) >= least))
 
     near = base.written(both.mapInArrow(close, "a bigint, b bigint").distinct(), "near")
     sets = _sets(near.select(F.col("a").alias("id")).union(near.select("b")), docs, id_col, text_col)
-    first = base.sized(near).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    first = base.sized(near, SHARE).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     second = first.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     linked = second.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -202,22 +216,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     docs = docs.select(id_col, text_col)
     sets = base.written(features(docs, id_col, text_col), "features")
     equal = sets.where("n > 0 and id is not null").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").drop("last")
-    equal = base.sized(base.written(equal, "equal"))
-    every = sets.join(equal, ["fp1", "fp2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).select("id", "n", "rep", "sketch")
-    nodes = every.where("id = rep and n > 0").select("id", "n", "sketch")
+    equal = base.sized(base.written(equal, "equal"), SHARE)
+    every = sets.join(equal, ["fp1", "fp2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+    # Both are written, and so is what follows before its next join: no plan of many rebuilds this broadcast or holds two.
+    nodes = base.written(every.where("id = rep and n > 0").select("id", "n", "sketch"), "nodes")
+    every = base.written(every.select("id", "n", "rep"), "every")
     members = _members(nodes, percent)
     stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(stars, nodes, docs, id_col, text_col, percent)
     first = base.written(components(links), "components")
-    placed = members.join(base.sized(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = base.written(members.join(base.sized(first, SHARE), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = base.written(placed.where("id <> center").join(base.sized(base.written(mixed, "mixed")), "key", "left_semi"), "open")
+    open_ = base.written(placed.where("id <> center").join(base.sized(base.written(mixed, "mixed"), SHARE), "key", "left_semi"), "open")
     label = first
     across = _across(open_, docs, id_col, text_col, percent)
     if across.limit(1).count():
         more = _confirmed(across, nodes, docs, id_col, text_col, percent)
         label = base.written(components(links.union(more)), "components")
-    out = every.select("id", "n", "rep").join(base.sized(label.select(F.col("id").alias("rep"), "component")), "rep", "left")
+    out = every.join(base.sized(label.select(F.col("id").alias("rep"), "component"), SHARE), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -68,6 +68,30 @@ def test_classes_match_all_pairs(spark, percent):
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, x in got.items() if x[2])
 
 
+@pytest.mark.parametrize("limit", [32 << 20, -1])
+def test_no_plan_holds_two_broadcasts(spark, monkeypatch, limit):
+    plans, real = [], neardup.base.written
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")))
+        return real(df, name)
+
+    monkeypatch.setattr(neardup.base, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(neardup.base, "written", seen)
+    rows = corpus()
+    out = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in seen(out, "out").collect()} == brute(rows)
+    assert {name: n for name, n in plans if n > (limit > 0)} == {}
+    assert (limit > 0) == any(n for _, n in plans)
+
+
+def test_tables_take_a_share_of_the_broadcast_bound(spark, monkeypatch):
+    ids = spark.range(100)  # 40 bytes a row
+    monkeypatch.setattr(neardup.base, "BROADCAST_BYTES", 8000)
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
+    assert hinted(neardup.base.sized(ids)) and hinted(neardup.base.sized(ids, 2)) and not hinted(neardup.base.sized(ids, 4))
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "A b c d e f")], "doc_id bigint, text string")
     got = sorted((r.id is None, r.id or 0, r.component_id or 0, r.kept) for r in neardup.classes(docs).collect())
